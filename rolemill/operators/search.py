@@ -262,3 +262,41 @@ def skills_by_category(taxonomy: DataFrame) -> DataFrame:
     return taxonomy.groupBy("category").agg(
         F.array_sort(F.collect_list("name")).alias("skills"),
         F.count(F.lit(1)).alias("n"))
+
+
+# A query with only these keys is a plain condition on the job row.
+_NEEDS_JOIN = {"company", "boolean", "keywords", "job_title", "skills_text",
+               "company_industry", "company_domain", "company_size_min",
+               "company_size_max", "company_min_jobs", "company_min_hiring_frequency",
+               "company_ats", "research_status", "priority", "tags", "custom_fields"}
+
+
+def run_saved(corpus: Corpus, saved: dict, as_of: dt.datetime,
+              last_run_at: dt.datetime) -> DataFrame:
+    """(name, total, fresh) for many saved searches at once.
+
+    All searches that only test the job row are counted in one pass over it;
+    the others contribute one small scope each. ``fresh`` counts rows collected
+    after ``last_run_at``.
+    """
+    newer = F.coalesce(F.col("date_collected") > F.lit(last_run_at), F.lit(False))
+    plain = {n: q for n, q in saved.items()
+             if not any(q.get(k) for k in _NEEDS_JOIN)}
+    parts = []
+    if plain:
+        cells = []
+        for i, (name, q) in enumerate(plain.items()):
+            hit = F.coalesce(_all(job_predicates(q, as_of)), F.lit(False))
+            cells += [F.count_if(hit).alias(f"t{i}"), F.count_if(hit & newer).alias(f"f{i}")]
+        rows = [F.struct(F.lit(name).alias("name"), F.col(f"t{i}").alias("total"),
+                         F.col(f"f{i}").alias("fresh")) for i, name in enumerate(plain)]
+        parts.append(corpus.jobs.agg(*cells).select(
+            F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    for name in saved.keys() - plain.keys():
+        parts.append(search(corpus, saved[name], as_of).agg(
+            F.lit(name).alias("name"), F.count(F.lit(1)).alias("total"),
+            F.count_if(newer).alias("fresh")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -12,7 +12,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolemill.operators import textindex
+from rolemill.operators.companies import refresh_metrics, seen_companies
 from rolemill.operators.enrich import enrich
+from rolemill.operators.search import Corpus
 from rolemill.operators.skills import SkillMatcher
 
 AS_OF = dt.datetime(2001, 8, 1)
@@ -235,8 +238,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.select(*[F.expr(render(e, "spark")).alias(n)
+    moments = ("date_posted", "date_collected", "last_seen_at")
+    rows = joined.select(*[F.expr(render(e, "spark")).alias(n)
                            for n, e in POSTING.items()])
+    # The tables' timestamps carry no zone; sessions run in UTC.
+    return rows.withColumns({m: F.col(m).cast("timestamp") for m in moments})
 
 
 # Starter gazetteer for the checks; users load their own with
@@ -332,3 +338,23 @@ def custom_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (orders.select(F.col(K).alias("entity_id"), F.explode(F.array(*rows)).alias("v"))
             .select("entity_id", F.lit("job").alias("entity"), "v.*")
             .where("key is not null"))
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employers seen in the corpus, with the customer's attributes and metrics."""
+    j = jobs(spark, sf_dir)
+    about = table(spark, sf_dir, "customer").select(
+        F.lower(F.replace("c_name", F.lit("#"), F.lit(" "))).alias("company_key"),
+        F.col("c_mktsegment").alias("industry"),
+        F.floor("c_acctbal").cast("long").alias("size_estimate"))
+    return refresh_metrics(seen_companies(j).join(about, "company_key"), j, AS_OF)
+
+
+def bundle(spark: SparkSession, sf_dir: str, text: bool = False) -> Corpus:
+    """Everything a search may need."""
+    j = jobs(spark, sf_dir)
+    return Corpus(
+        jobs=j, companies=companies(spark, sf_dir), research=research(spark, sf_dir),
+        job_tags=job_tags(spark, sf_dir), custom_values=custom_values(spark, sf_dir),
+        custom_fields=dict(FIELDS),
+        index=textindex.build(j.where("is_primary"), stemmed=False) if text else None)
