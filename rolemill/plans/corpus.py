@@ -8,6 +8,7 @@ of a check start from the same rows and share nothing after that.
 """
 
 import datetime as dt
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -280,12 +281,12 @@ SKILLS = [
 ]
 MATCHER = SkillMatcher.from_rows(SKILLS)
 
-_SNAPSHOT = ["date_collected", "last_seen_at", "is_active", "is_primary",
-             "duplicate_of", "duplicate_count", "opportunity_score", "easy_apply"]
-
-
+@lru_cache(maxsize=8)
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched corpus with its stored state."""
+    """The enriched corpus with its stored state.
+
+    Only the lazy plan is kept per session; every query runs it afresh.
+    """
     return enrich(postings(spark, sf_dir), MATCHER)
 
 
@@ -340,6 +341,7 @@ def custom_values(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where("key is not null"))
 
 
+@lru_cache(maxsize=8)
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Employers seen in the corpus, with the customer's attributes and metrics."""
     j = jobs(spark, sf_dir)
