@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rolemill import vocab
-from rolemill.functions.binding import let
+from rolemill.functions.binding import let, pinned
 
 # A gazetteer is a dimension table; beyond this many aliases one alternation
 # regex stops being the right tool, so loading it is refused, not truncated.
@@ -120,51 +120,54 @@ def requirement_class(text: Column, start: Column) -> Column:
         "preferred").when(h["required"] > 0, "required").otherwise("mentioned"))
 
 
+_EMPTY = "array<struct<name:string,requirement:string,mention_count:bigint>>"
+
+
 def with_skills(df: DataFrame, matcher: SkillMatcher, text: str = "description_text",
                 into: str = "skills") -> DataFrame:
     """Add ``array<struct<name, requirement, mention_count>>``, row by row.
 
-    Each stage is its own column, so no lambda re-evaluates the regexes. Splitting
-    by the matched pattern gives the gaps between mentions; their running length
-    gives every mention's offset without a UDF and without a shuffle.
+    Splitting by the matched pattern gives the gaps between mentions; their
+    running length gives every mention's offset without a UDF and without a
+    shuffle. Each intermediate value is bound once, so no lambda repeats a regex.
     """
+    empty = F.array().cast(_EMPTY)
     if not matcher.aliases:
-        return df.withColumn(into, F.array().cast(
-            "array<struct<name:string,requirement:string,mention_count:bigint>>"))
-    low = F.col("_low")
-    staged = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    staged = staged.withColumn("_hits", F.regexp_extract_all(
-        low, F.lit(matcher.pattern), F.lit(1)))
-    staged = staged.withColumn("_gaps", F.when(
-        F.size("_hits") > 0, F.split(low, matcher.pattern, -1)))
-    walk = F.aggregate(
-        F.arrays_zip(F.col("_hits").alias("hit"),
-                     F.slice("_gaps", 1, F.size("_hits")).alias("gap")),
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<hit:string,start:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                x["hit"].alias("hit"),
-                (acc["at"] + F.char_length(x["gap"])).alias("start")))).alias("out")),
-        lambda acc: acc["out"])
-    staged = staged.withColumn("_mentions", F.when(F.size("_hits") > 0, walk))
-    staged = staged.withColumn("_mentions", F.transform("_mentions", lambda m: F.struct(
-        matcher.skill_of(m["hit"]).alias("name"),
-        requirement_class(low, m["start"]).alias("cls"))))
-    staged = staged.withColumn("_names", F.array_distinct(F.col("_mentions.name")))
-    skills = F.transform("_names", lambda s: F.struct(
-        s.alias("name"),
-        F.coalesce(F.try_element_at(
-            F.filter("_mentions",
-                     lambda m: (m["name"] == s) & (m["cls"] != "mentioned")),
-            F.lit(1))["cls"], F.lit("mentioned")).alias("requirement"),
-        F.size(F.filter("_mentions", lambda m: m["name"] == s)).cast("bigint")
-        .alias("mention_count")))
-    empty = F.array().cast(
-        "array<struct<name:string,requirement:string,mention_count:bigint>>")
-    return (staged.withColumn(into, F.coalesce(skills, empty))
-            .drop("_low", "_hits", "_gaps", "_mentions", "_names"))
+        return df.withColumn(into, empty)
+    pattern = matcher.pattern
+
+    def offsets(hits, gaps):
+        return F.aggregate(
+            F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")),
+            F.struct(F.lit(0).alias("at"), F.array().cast(
+                "array<struct<hit:string,start:int>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(
+                    x["hit"].alias("hit"),
+                    (acc["at"] + F.char_length(x["gap"])).alias("start")))).alias("out")),
+            lambda acc: acc["out"])
+
+    def mentions(low, hits):
+        return F.transform(offsets(hits, F.split(low, pattern, -1)), lambda m: F.struct(
+            matcher.skill_of(m["hit"]).alias("name"),
+            requirement_class(low, m["start"]).alias("cls")))
+
+    def summary(found):
+        return F.transform(F.array_distinct(found["name"]), lambda s: F.struct(
+            s.alias("name"),
+            F.coalesce(F.try_element_at(
+                F.filter(found, lambda m: (m["name"] == s) & (m["cls"] != "mentioned")),
+                F.lit(1))["cls"], F.lit("mentioned")).alias("requirement"),
+            F.size(F.filter(found, lambda m: m["name"] == s)).cast("bigint")
+            .alias("mention_count")))
+
+    def of_text(low):
+        return let(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda hits: F.when(
+            F.size(hits) > 0, let(mentions(low, hits), summary)))
+
+    skills = let(F.lower(F.coalesce(F.col(text), F.lit(""))), of_text)
+    return df.withColumn(into, pinned(F.coalesce(skills, empty)))
 
 
 def job_skills(jobs: DataFrame, key: str = "job_id") -> DataFrame:

@@ -553,7 +553,7 @@ _PRINTS = ("prints", f"""SELECT j.job_id, j.job_url, j.title_normalized, j.compa
     lower(coalesce(j.city, '')) AS city, upper(coalesce(j.state, '')) AS state,
     j.canonical_hash, s.simhash FROM jobs j LEFT JOIN (
     {simhash('jobs', 'job_id', 'description_text')}) s USING (job_id)""")
-_URLS = ("urls", """SELECT job_id, first AS linked_to, 'identical_url' AS reason, 1.0 AS score
+_URLS = ("urls", """SELECT job_id, first AS linked_to, 'identical_url' AS reason, 1.0::DOUBLE AS score
     FROM (SELECT job_id, min(job_id) OVER (PARTITION BY job_url) AS first FROM jobs)
     WHERE first < job_id""")
 _D = "bit_count(xor(i.simhash, j.simhash))"
@@ -563,7 +563,7 @@ _VERDICT = f"""CASE WHEN i.simhash IS NULL OR j.simhash IS NULL THEN t
 _CANON = ("canon", f"""SELECT job_id, linked_to, reason, score FROM (SELECT *, row_number()
     OVER (PARTITION BY job_id ORDER BY score DESC, linked_to) AS rn FROM (
     SELECT i.job_id, j.job_id AS linked_to, {_VERDICT} FROM
-    (SELECT *, 1.0 AS t FROM prints) i JOIN prints j ON i.canonical_hash = j.canonical_hash
+    (SELECT *, 1.0::DOUBLE AS t FROM prints) i JOIN prints j ON i.canonical_hash = j.canonical_hash
     AND j.job_id < i.job_id) WHERE score IS NOT NULL) WHERE rn = 1""")
 _JACCARD = """len(list_intersect(string_split(i.title_normalized, ' '),
     string_split(j.title_normalized, ' '))) / len(list_distinct(list_concat(
