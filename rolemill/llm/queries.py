@@ -3,10 +3,20 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.llm import bpe, packing
+from rolemill.llm import bpe, chat, line_dedup, packing, pii, quality, sharding
 from rolemill.llm.tables import read
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, folder, "documents")).select(
+        "doc_id", "n_found", "text")
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     out = bpe.decode(bpe.encode(docs))
@@ -16,9 +26,38 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(read(spark, folder, "documents"))
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans as text, ``from-to`` with commas between."""
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(
+        "-", m["from"].cast("string"), m["to"].cast("string"))), ",")
+    return chat.rotate(read(spark, folder, "conversations")).withColumn("masks", spans)
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    order = quality.ordered(docs, quality.rules())
+    failed = (F.col("n_words") < 50) | (
+        100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return quality.cascade(quality.base(docs), order).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op10_packing": op10_packing}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_bpe": op5_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_chat": op8_chat,
+    "op9_quality": op9_quality,
+    "op10_packing": op10_packing,
+}
+SQL = {"op3_line_dedup": line_dedup.SQL, "op8_chat": chat.SQL}
