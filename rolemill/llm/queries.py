@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.llm import bpe, chat, line_dedup, packing, pii, quality, sharding
+from rolemill.llm import bpe, chat, line_dedup, packing, pii, quality, sharding, toxicity
 from rolemill.llm.tables import read
 
 
@@ -26,6 +26,14 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(read(spark, folder, "documents"))
 
@@ -55,6 +63,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,

@@ -43,11 +43,12 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES):
         start = end
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray):
-    """Where each word begins and ends; no word crosses from one text to the next."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
+    """Where each word begins and ends; no word crosses from one text to the next.
+    ``between`` says of each byte whether it separates words."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[raw]
+    space = between[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(space)
