@@ -3,10 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.llm import bpe, chat, line_dedup, packing, pii, quality, sharding, toxicity
+from rolemill.llm import bpe, chat, line_dedup, ngram_join, packing, pii, quality, sharding, toxicity
 from rolemill.llm.tables import read
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return ngram_join.link(docs, words=4, num=85).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(read(spark, folder, "documents")).select(
         "doc_id", "n_found", "text")
@@ -60,6 +66,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op5_bpe": op5_bpe,
