@@ -1,11 +1,62 @@
-"""Stages from raw documents to packed sequences."""
+"""Five stages from raw documents to packed training sequences.
 
-STAGES = []
+Toxic documents go; lines that many sites share go but for their first occurrence;
+one document of each group of near copies stays; personal values get pseudonyms; what
+is left is packed into sequences. Each stage works on all rows its predecessor kept.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolemill.llm import line_dedup, ngram_join, packing, pii, toxicity
+from rolemill.llm.tables import keep, read
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, name="_score")
+    return scored.where("_score < 0.5").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that other sites have had before."""
+    out = line_dedup.dedup_lines(docs)
+    return out.select(*[_n_chars() if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id. Documents without
+    words are no copies of each other and stay."""
+    gone = ngram_join.link(docs).where("not is_first").select("doc_id", "k").distinct()
+    return (docs.withColumn("k", F.xxhash64("text")).join(gone, ["doc_id", "k"], "left_anti")
+            .select(*docs.columns))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal values."""
+    out = pii.pseudonymise(docs, found="_found")
+    return out.select(*[_n_chars() if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a sequence."""
+    return packing.pack(docs)
+
+
+def _n_chars():
+    return F.length("text").cast("long").alias("n_chars")
+
+
+STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_stage),
+          ("ngram_join", near_duplicate_stage), ("pii", pii_stage),
+          ("packing", packing_stage)]
+# The classifier, linking and packing are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

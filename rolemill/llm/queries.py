@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.llm import bpe, chat, line_dedup, ngram_join, packing, pii, quality, sharding, toxicity
+from rolemill.llm import bpe, chat, line_dedup, ngram_join, nn_descent, packing, pii, quality, sharding, toxicity
 from rolemill.llm.tables import read
 
 
@@ -23,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return nn_descent.neighbours(read(spark, folder, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     out = bpe.decode(bpe.encode(docs))
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
+    "op4_nn_descent": op4_nn_descent,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
