@@ -12,8 +12,10 @@ e. Linked sets then share an indexed token or pair.
 Equal sets are collapsed first. Members of an index entry are compared with its
 smallest member; what these comparisons join needs no more of them, so groups of
 thousands of near copies cost as many comparisons as they have members. Members that
-are still apart are compared with further smallest members and at last pair by pair.
-Every candidate is verified on the whole texts.
+are still apart are compared with further smallest members and at last pair by pair. A
+parity sketch of each set (which of 512 hash classes hold an odd number of tokens)
+bounds two sets' difference from below, so pairs that differ too much go before their
+texts are read. Every other candidate is verified on the whole texts.
 
 Counting covers a fixed fifth of the hash space over all texts; which tokens count as
 frequent changes the work and never the result.
@@ -40,6 +42,8 @@ MOST_FREQUENT = 1 << 20
 # Index entries with more members than this get further rounds of smallest members.
 SMALL = 32
 ROUNDS = 2
+PARITY = 512
+SKETCH = [f"b{i}" for i in range(PARITY // 64)]
 
 
 def errors(n: int, num: int, den: int) -> int:
@@ -60,10 +64,11 @@ def _unpack(data) -> np.ndarray:
 
 
 def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, k, n, f1, f2, tokens): set size, set fingerprint, the first tokens."""
+    """(doc_id, k, n, f1, f2, tokens, b0..): set size, set fingerprint, the first
+    tokens, the parity sketch."""
     def run(batches):
         for batch in batches:
-            n_out, f1, f2, out = [], [], [], []
+            n_out, f1, f2, out, odd = [], [], [], [], []
             for _, raw, offsets in shingles.text_slices(batch.column(2)):
                 hashes, begin = shingles.shingle_sets(raw, offsets, words)
                 one, two = shingles.mix(hashes), shingles.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
@@ -72,6 +77,12 @@ def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 f1.append((sums[0][begin[1:]] - sums[0][begin[:-1]]).view(np.int64))
                 f2.append((sums[1][begin[1:]] - sums[1][begin[:-1]]).view(np.int64))
                 n_out.append(np.diff(begin))
+                sets = len(begin) - 1
+                place = np.repeat(np.arange(sets), np.diff(begin)) * PARITY + (
+                    two & np.uint64(PARITY - 1)).astype(np.int64)
+                count = np.bincount(place, minlength=sets * PARITY) & 1
+                odd.append(np.packbits(count.astype(np.uint8)).view(np.int64)
+                           .reshape(sets, len(SKETCH)))
                 short = hashes >> np.uint64(64 - TOKEN_BITS)
                 for a, b in zip(begin.tolist(), begin[1:].tolist()):
                     own = short[a:b]
@@ -80,10 +91,14 @@ def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
                  *[pa.array(np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64))
-                   for x in (n_out, f1, f2)], pa.array(out, pa.binary())],
-                names=["doc_id", "k", "n", "f1", "f2", "tokens"])
+                   for x in (n_out, f1, f2)], pa.array(out, pa.binary()),
+                 *[pa.array(np.ascontiguousarray(np.concatenate(
+                     odd or [np.zeros((0, len(SKETCH)), np.int64)])[:, i]))
+                   for i in range(len(SKETCH))]],
+                names=["doc_id", "k", "n", "f1", "f2", "tokens", *SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, k long, n long, f1 long, f2 long, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, k long, n long, f1 long, f2 long, tokens binary, "
+                           + ", ".join(f"{b} long" for b in SKETCH))
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -172,6 +187,13 @@ def _fits(a: str, b: str, num: int, den: int):
     return (F.least(a, b) * den >= F.greatest(a, b) * num)
 
 
+def _near(left: str, right: str, size, num: int, den: int):
+    """Whether sketches with these prefixes leave room for a link."""
+    differ = sum((F.bit_count(F.col(left + b).bitwiseXOR(F.col(right + b))) for b in SKETCH),
+                 F.lit(0))
+    return differ * (den + num) <= size * (den - num)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
     def run(batches):
@@ -217,7 +239,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     sets = (index.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2")
             .agg(F.min(F.struct("doc_id", "k", "id")).alias("r")))
     reps = keep(sets.select("n", "f1", "f2", "r.doc_id", "r.k", "r.id"))
-    rep_sets = keep(index.select("id", "tokens").join(reps.select("id", "n"), "id"))
+    rep_sets = keep(index.select("id", "tokens", *SKETCH).join(reps.select("id", "n"), "id"))
+    sketches = {p: rep_sets.select(F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), *[
+        F.col(b).alias(p + b) for b in SKETCH]) for p in ("a_", "b_")}
     entry = Window.partitionBy("sig")
     entries = keep(
         _signed(rep_sets, num, den)
@@ -229,7 +253,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     texts = keep(source.join(needed, ["doc_id", "k"]).dropDuplicates(["id"]).select("id", "text"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, texts, words, num, den)
+        return verified(possible(pairs), texts, words, num, den)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(sketches["a_"], F.col("a") == F.col("a_id"))
+                .join(sketches["b_"], F.col("b") == F.col("b_id")))
+        return both.where(_near("a_", "b_", F.col("a_n") + F.col("b_n"), num, den)).select("a", "b")
 
     stars = entries.where((F.col("id") != F.col("lead")) & _fits("n", "lead_n", num, den)).select(
         F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -251,11 +280,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             open_ = apart.where((F.col("m") <= SMALL) | (F.col("id") != F.col("l.id"))).select(
                 "sig", "id", "n")
         else:
-            other = apart.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"),
-                                 F.col("comp").alias("cb"))
-            pairs = apart.join(other, "sig").where(
-                (F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb"))
-                & _fits("n", "nb", num, den)).select(F.col("id").alias("a"), "b")
+            # Entries with the same members say the same; one of them is enough.
+            alike = apart.groupBy("sig").agg(
+                F.count(F.lit(1)).alias("m"), F.min("id").alias("i0"), F.max("id").alias("i1"),
+                F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
+            alone = alike.groupBy("m", "i0", "i1", "s").agg(F.min("sig").alias("sig"))
+            rest = apart.join(alone.select("sig"), "sig", "left_semi").select("sig", "id", "comp")
+            one = keep(rest.join(sketches["a_"], F.col("id") == F.col("a_id")).drop("id"))
+            two = rest.withColumnRenamed("comp", "b_comp").join(
+                sketches["b_"], F.col("id") == F.col("b_id")).drop("id")
+            pairs = one.join(two, "sig").where(
+                (F.col("a_id") < F.col("b_id")) & (F.col("comp") != F.col("b_comp"))
+                & _fits("a_n", "b_n", num, den)
+                & _near("a_", "b_", F.col("a_n") + F.col("b_n"), num, den)).select(
+                F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         pairs = keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
@@ -266,7 +304,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     group = (reps.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     first = group.groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("_first"))
     named = group.join(first, "comp").select("n", "f1", "f2", "_first")
-    out = index.drop("tokens", "id").join(named, ["n", "f1", "f2"], "left")
+    out = index.drop("tokens", "id", *SKETCH).join(named, ["n", "f1", "f2"], "left")
     linked = F.col("_first").isNotNull() & F.col("doc_id").isNotNull()
     return out.select(
         "doc_id", "k", F.col("n").alias("n_shingles"),
