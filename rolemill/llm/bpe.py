@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolemill.llm import shingles
-from rolemill.llm.tables import keep, worker_memory
+from rolemill.llm.tables import worker_memory
 
 # Texts longer than this are encoded in halves.
 UNIT = 16_384
 # Distinct words a worker remembers before it starts anew.
 REMEMBERED = 3_000_000
 SLICE_BYTES = 6 << 20
+# Tokens at either end of a part whose places travel with it, for the joins.
+EDGE = 256
 
 
 def default_path() -> str:
@@ -148,22 +150,41 @@ def _spans(made, shift: int = 0):
 def _common(a_ids, a_spans, b_ids, b_spans, last: bool):
     """Positions of two neighbouring tokens that both encodings have at the same
     characters: the last such pair of a, or the first."""
+    a_at, b_at = (np.flatnonzero(x[:, 0] >= 0) for x in (a_spans, b_spans))
+    a_ids, a_spans, b_ids, b_spans = a_ids[a_at], a_spans[a_at], b_ids[b_at], b_spans[b_at]
     width = int(max(a_spans.max(initial=0), b_spans.max(initial=0))) + 1
     a = (a_ids * width + a_spans[:, 0]) * width + a_spans[:, 1]
     b = (b_ids * width + b_spans[:, 0]) * width + b_spans[:, 1]
     _, i, j = np.intersect1d(a, b, return_indices=True)
-    where = dict(zip(i.tolist(), j.tolist()))
+    where = dict(zip(a_at[i].tolist(), b_at[j].tolist()))
     for k in sorted(where, reverse=last):
         if where.get(k + 1) == where[k] + 1:
             return k + 1, where[k] + 1
     return None
 
 
+def _edges(spans: np.ndarray) -> bytes:
+    """The spans of the first and last tokens."""
+    if len(spans) > 2 * EDGE:
+        spans = np.concatenate([spans[:EDGE], spans[-EDGE:]])
+    return spans.astype("<i4").tobytes()
+
+
+def _with_edges(edges: bytes, n: int) -> np.ndarray:
+    """Spans of n tokens, -1 where they did not travel."""
+    known = np.frombuffer(edges, "<i4").reshape(-1, 2).astype(np.int64)
+    if len(known) == n:
+        return known
+    spans = np.full((n, 2), -1, np.int64)
+    spans[:EDGE], spans[n - EDGE:] = known[:EDGE], known[EDGE:]
+    return spans
+
+
 def join_encoded(tok, left, right, window: int = 32):
     """The encoding of two neighbouring texts; each side is (text, ids, spans)."""
     (a_text, a_ids, a_spans), (b_text, b_ids, b_spans) = left, right
     cut, whole = len(a_text), a_text + b_text
-    b_moved = b_spans + cut
+    b_moved = np.where(b_spans < 0, -1, b_spans + cut)
     while True:
         lo, hi = max(0, cut - window), min(len(whole), cut + window)
         ids, spans = _spans(tok.encode(whole[lo:hi], add_special_tokens=False), lo)
@@ -196,22 +217,24 @@ def _tree(long: DataFrame, unit: int, path: str | None) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 ids, spans = _spans(tok.encode(r["text"], add_special_tokens=False))
-                rows.append(r | {"ids": ids.tobytes(), "spans": spans.tobytes()})
+                rows.append(r | {"ids": ids.astype("<u4").tobytes(), "spans": _edges(spans)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=batch.schema.append(
                     pa.field("ids", pa.binary())).append(pa.field("spans", pa.binary())))
 
     def joined(table: pa.Table) -> pa.Table:
-        tok = tokenizer(path)
-        sides = [(r["text"], np.frombuffer(r["ids"], np.int64),
-                  np.frombuffer(r["spans"], np.int64).reshape(-1, 2))
-                 for r in sorted(table.to_pylist(), key=lambda r: r["_node"])]
-        text, ids, spans = join_encoded(tok, *sides)
+        if len(table) == 1:  # its text is whole already
+            return table
+        sides = []
+        for r in sorted(table.to_pylist(), key=lambda r: r["_node"]):
+            ids = np.frombuffer(r["ids"], "<u4").astype(np.int64)
+            sides.append((r["text"], ids, _with_edges(r["spans"], len(ids))))
+        text, ids, spans = join_encoded(tokenizer(path), *sides)
         first = table.slice(0, 1).to_pylist()[0]
         return pa.Table.from_pylist([{
             "_key": first["_key"], "_node": first["_node"] // 2,
-            "_nodes": first["_nodes"] // 2, "text": text, "ids": ids.tobytes(),
-            "spans": spans.tobytes()}], schema=table.schema)
+            "_nodes": first["_nodes"] // 2, "text": text, "ids": ids.astype("<u4").tobytes(),
+            "spans": _edges(spans)}], schema=table.schema)
 
     size = F.ceil(F.length("text") / F.col("_nodes")).cast("int")
     cut = (long.withColumn("_nodes", _leaf_count(F.length("text"), unit))
@@ -219,13 +242,11 @@ def _tree(long: DataFrame, unit: int, path: str | None) -> DataFrame:
            .select("_key", "_node", "_nodes",
                    F.substring(F.col("text"), F.col("_node") * size + 1, size).alias("text"))
            .repartition("_key", "_node"))
-    level = keep(cut.mapInArrow(leaves, node))
-    deepest = level.agg(F.max("_nodes")).first()[0] or 1
+    deepest = long.agg(F.max(_leaf_count(F.length("text"), unit))).first()[0] or 1
+    level = cut.mapInArrow(leaves, node)
     while deepest > 1:
-        done, open_ = level.where("_nodes = 1"), level.where("_nodes > 1")
-        merged = open_.groupBy("_key", F.floor(F.col("_node") / 2).alias("_pair")) \
+        level = level.groupBy("_key", F.floor(F.col("_node") / 2).alias("_pair")) \
             .applyInArrow(joined, node)
-        level = keep(done.unionByName(merged))
         deepest //= 2
     return level.select("_key", "ids")
 
@@ -246,18 +267,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
                 [*batch.columns[:len(keys)], _binary(chunks)],
                 names=[*keys, "ids"])
 
-    def narrow(batches):
-        for batch in batches:
-            ids = [np.frombuffer(b, np.int64).astype("<u4").tobytes()
-                   for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
-
     short = (docs.where(F.length(value) <= unit).select(*keys, value.alias("_text"))
              .mapInArrow(plain, schema))
     long = docs.where(F.length(text) > unit).withColumn("_key", F.sha2(F.col(text), 256))
     texts = long.groupBy("_key").agg(F.first(text).alias("text"))
-    tree = _tree(texts, unit, path).mapInArrow(narrow, "_key string, ids binary")
+    tree = _tree(texts, unit, path)
     return short.unionByName(long.select(*keys, "_key").join(tree, "_key").drop("_key"))
 
 
