@@ -29,6 +29,8 @@ REMEMBERED = 3_000_000
 SLICE_BYTES = 6 << 20
 # Tokens at either end of a part whose places travel with it, for the joins.
 EDGE = 256
+# Leaves joined in one task; a power of two. Longer texts take further shuffles.
+FAN = 8
 
 
 def default_path() -> str:
@@ -204,75 +206,102 @@ def _leaf_count(n_chars, unit: int):
     return F.pow(F.lit(2), F.ceil(F.log2(n_chars / F.lit(unit)))).cast("int")
 
 
-def _tree(long: DataFrame, unit: int, path: str | None) -> DataFrame:
-    """(_key, ids) of distinct long texts, by halves."""
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where all are small enough, after a mark."""
+    small = not len(ids) or ids.max() < 1 << 16
+    return (b"2" + ids.astype("<u2").tobytes() if small
+            else b"4" + ids.astype("<u4").tobytes())
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if data[:1] == b"2" else "<u4", offset=1).astype(np.int64)
+
+
+def _tree(long: DataFrame, keys: list, unit: int, path: str | None) -> DataFrame:
+    """Long texts by halves: the key columns ``_0`` .. and ``ids``."""
     node = T.StructType([
-        T.StructField("_key", T.StringType()), T.StructField("_node", T.IntegerType()),
+        T.StructField("_key", T.LongType()), *keys, T.StructField("_node", T.IntegerType()),
         T.StructField("_nodes", T.IntegerType()), T.StructField("text", T.StringType()),
         T.StructField("ids", T.BinaryType()), T.StructField("spans", T.BinaryType())])
 
     def leaves(batches):
         tok = tokenizer(path)
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                ids, spans = _spans(tok.encode(r["text"], add_special_tokens=False))
-                rows.append(r | {"ids": ids.astype("<u4").tobytes(), "spans": _edges(spans)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=batch.schema.append(
-                    pa.field("ids", pa.binary())).append(pa.field("spans", pa.binary())))
+            ids_out, spans_out = [], []
+            for text in batch.column(batch.schema.names.index("text")).to_pylist():
+                ids, spans = _spans(tok.encode(text, add_special_tokens=False))
+                ids_out.append(_narrow(ids))
+                spans_out.append(_edges(spans))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ids_out, pa.binary()), pa.array(spans_out, pa.binary())],
+                names=[*batch.schema.names, "ids", "spans"])
 
     def joined(table: pa.Table) -> pa.Table:
-        if len(table) == 1:  # its text is whole already
-            return table
+        """The parts of one text, neighbours with neighbours until one is left."""
+        table = table.sort_by("_node").combine_chunks()
         sides = []
-        for r in sorted(table.to_pylist(), key=lambda r: r["_node"]):
-            ids = np.frombuffer(r["ids"], "<u4").astype(np.int64)
-            sides.append((r["text"], ids, _with_edges(r["spans"], len(ids))))
-        text, ids, spans = join_encoded(tokenizer(path), *sides)
-        first = table.slice(0, 1).to_pylist()[0]
-        return pa.Table.from_pylist([{
-            "_key": first["_key"], "_node": first["_node"] // 2,
-            "_nodes": first["_nodes"] // 2, "text": text, "ids": ids.astype("<u4").tobytes(),
-            "spans": _edges(spans)}], schema=table.schema)
+        for text, ids, spans in zip(*(table.column(c).to_pylist()
+                                      for c in ("text", "ids", "spans"))):
+            ids = _wide(ids)
+            sides.append((text, ids, _with_edges(spans, len(ids))))
+        levels = len(sides).bit_length() - 1
+        while len(sides) > 1:
+            sides = [join_encoded(tokenizer(path), *sides[i:i + 2])
+                     for i in range(0, len(sides), 2)]
+        text, ids, spans = sides[0]
+        own = {"_node": table.column("_node")[0].as_py() >> levels,
+               "_nodes": table.column("_nodes")[0].as_py() >> levels, "text": text,
+               "ids": _narrow(ids), "spans": _edges(spans)}
+        return pa.Table.from_arrays(
+            [pa.array([own[f.name]], f.type) if f.name in own
+             else table.column(f.name).slice(0, 1) for f in table.schema], schema=table.schema)
+
+    def finished(batches):
+        for batch in batches:
+            ids = [_wide(b).astype("<u4").tobytes() for b in batch.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], pa.array(ids, pa.binary())],
+                names=batch.schema.names)
 
+    names = [f.name for f in keys]
     size = F.ceil(F.length("text") / F.col("_nodes")).cast("int")
     cut = (long.withColumn("_nodes", _leaf_count(F.length("text"), unit))
            .withColumn("_node", F.explode(F.sequence(F.lit(0), F.col("_nodes") - 1)))
-           .select("_key", "_node", "_nodes",
+           .select("_key", *names, "_node", "_nodes",
                    F.substring(F.col("text"), F.col("_node") * size + 1, size).alias("text"))
            .repartition("_key", "_node"))
     deepest = long.agg(F.max(_leaf_count(F.length("text"), unit))).first()[0] or 1
     level = cut.mapInArrow(leaves, node)
     while deepest > 1:
-        level = level.groupBy("_key", F.floor(F.col("_node") / 2).alias("_pair")) \
+        level = level.groupBy("_key", F.floor(F.col("_node") / FAN).alias("_pair")) \
             .applyInArrow(joined, node)
-        deepest //= 2
-    return level.select("_key", "ids")
+        deepest //= FAN
+    return level.select(*names, "ids").mapInArrow(
+        finished, T.StructType([*keys, T.StructField("ids", T.BinaryType())]))
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None,
            unit: int = UNIT) -> DataFrame:
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit ids."""
-    keys = [c for c in docs.columns if c not in (text, "ids")]
-    rest = [f for f in docs.schema.fields if f.name in keys]
+    keys = [f for f in docs.schema.fields if f.name not in (text, "ids")]
+    inner = [T.StructField(f"_{i}", f.dataType) for i, f in enumerate(keys)]
     value = F.coalesce(F.col(text), F.lit(""))
-    schema = T.StructType(rest + [T.StructField("ids", T.BinaryType())])
+    columns = [F.col(f.name).alias(g.name) for f, g in zip(keys, inner)]
 
     def plain(batches):
         for batch in batches:
             chunks = [(ids, begin) for _, ids, begin in
-                      encoded_slices(batch.column(len(keys)), path)]
+                      encoded_slices(batch.column(len(inner)), path)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keys)], _binary(chunks)],
-                names=[*keys, "ids"])
-
-    short = (docs.where(F.length(value) <= unit).select(*keys, value.alias("_text"))
-             .mapInArrow(plain, schema))
-    long = docs.where(F.length(text) > unit).withColumn("_key", F.sha2(F.col(text), 256))
-    texts = long.groupBy("_key").agg(F.first(text).alias("text"))
-    tree = _tree(texts, unit, path)
-    return short.unionByName(long.select(*keys, "_key").join(tree, "_key").drop("_key"))
+                [*batch.columns[:len(inner)], _binary(chunks)],
+                names=[*[g.name for g in inner], "ids"])
+
+    short = (docs.where(F.length(value) <= unit).select(*columns, value.alias("text"))
+             .mapInArrow(plain, T.StructType([*inner, T.StructField("ids", T.BinaryType())])))
+    long = docs.where(F.length(text) > unit).select(
+        F.monotonically_increasing_id().alias("_key"), *columns, F.col(text).alias("text"))
+    out = short.unionByName(_tree(long, inner, unit, path))
+    return out.select(*[F.col(g.name).alias(f.name) for f, g in zip(keys, inner)], "ids")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
