@@ -269,12 +269,19 @@ BOARDS = ["greenhouse", "lever", "ashby", "workable"]
 
 def read(spark: SparkSession, source: str, path: str,
          names: DataFrame | None = None) -> DataFrame:
-    """Raw postings of one provider's landed files."""
-    rows = spark.read.schema(SCHEMAS[source]).option("multiLine", True).json(path)
+    """Raw postings of one provider's landed files: ``.jsonl`` files hold one payload
+    a line and are read in splits, other files are one payload each."""
+    reader = spark.read.schema(SCHEMAS[source]).option("recursiveFileLookup", True)
+    lines = reader.option("pathGlobFilter", "*.jsonl").json(path)
+    whole = reader.option("pathGlobFilter", "*[!l]").option("multiLine", True).json(path)
+    parts = [p for p in (lines, whole) if p.inputFiles()]
+    rows = parts[0] if len(parts) == 1 else lines.unionByName(whole)
     if source not in BOARDS:
         return PARSERS[source](rows)
     token = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.jsonl?)?$", 1)
-    return PARSERS[source](rows.select(token.alias("token"), "*"), names)
+    parts = [p.select(token.alias("token"), "*") for p in parts or [whole]]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return PARSERS[source](rows, names)
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:

@@ -502,3 +502,18 @@ def test_streaming_is_idempotent(spark, folder):
     assert {r.outcome: r["count"] for r in jobs.where("outcome is not null").groupBy(
         "outcome").count().collect()} == {"updated": 1, "duplicate": 1}
     assert spark.read.parquet(f"{folder}/out/outcomes").count() == 5
+
+
+def test_landed_lines_and_files_are_all_read(spark, folder):
+    import json
+    import os
+
+    from rolemill.sources import payloads
+    payload = lambda i: json.dumps({"jobs": [
+        {"id": i, "title": f"Baker {i}", "company_name": "Loaf House"}]})
+    with open(os.path.join(folder, "many.jsonl"), "w") as f:
+        f.write("\n".join(payload(i) for i in range(5)))
+    with open(os.path.join(folder, "one.json"), "w") as f:
+        f.write(json.dumps(json.loads(payload(9)), indent=2))
+    assert payloads.read(spark, "remotive", folder).count() == 6
+    assert payloads.read(spark, "remotive", os.path.join(folder, "many.jsonl")).count() == 5
