@@ -290,11 +290,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
 
     def plain(batches):
         for batch in batches:
-            chunks = [(ids, begin) for _, ids, begin in
-                      encoded_slices(batch.column(len(inner)), path)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(inner)], _binary(chunks)],
-                names=[*[g.name for g in inner], "ids"])
+            for at, ids, begin in encoded_slices(batch.column(len(inner)), path):
+                part = batch.slice(at, len(begin) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(inner)], _binary([(ids, begin)])],
+                    names=[*[g.name for g in inner], "ids"])
 
     short = (docs.where(F.length(value) <= unit).select(*columns, value.alias("text"))
              .mapInArrow(plain, T.StructType([*inner, T.StructField("ids", T.BinaryType())])))
@@ -319,7 +319,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         spelled = worker_memory(f"tokens {path}", table)
-        for batch in batches:
+        parts = (b.slice(i, 256) for b in batches for i in range(0, len(b), 256))
+        for batch in parts:
             out = []
             for b in batch.column(at):
                 ids = np.frombuffer(b.as_buffer(), "<u4").tolist()
