@@ -125,7 +125,10 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     z = np.bincount(row, w[word], len(texts))[~positive]
     weights = np.zeros(size)
     weights[used] = w
-    return Model(weights, float(-np.quantile(z, 1 - prior)))
+    # A text without any telling word is never toxic, whatever the prior.
+    raising = w[w > 0]
+    least = raising.min() / 2 if len(raising) else np.log((1 - prior) / prior)
+    return Model(weights, -float(max(np.quantile(z, 1 - prior), least, 1e-6)))
 
 
 def _words_of(docs: DataFrame, text: str) -> list[np.ndarray]:
