@@ -25,7 +25,7 @@ from rolemill.llm.tables import worker_memory
 # Texts longer than this are encoded in halves.
 UNIT = 16_384
 # Distinct words a worker remembers before it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 SLICE_BYTES = 6 << 20
 # Tokens at either end of a part whose places travel with it, for the joins.
 EDGE = 256
@@ -39,21 +39,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenizer(path: str | None):
-    """The tokenizer of a file, without truncation and padding; one per worker."""
+def _loaded(path: str | None):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    def load():
-        from tokenizers import Tokenizer
+    made = Tokenizer.from_file(path or default_path())
+    made.no_truncation()
+    made.no_padding()
+    return made
 
-        made = Tokenizer.from_file(path or default_path())
-        made.no_truncation()
-        made.no_padding()
-        return made
 
-    return worker_memory(f"tokenizer {path}", load)
+def tokenizer(path: str | None):
+    """The tokenizer of a file, without truncation and padding; one per worker."""
+    return worker_memory(f"tokenizer {path}", lambda: _loaded(path))
 
 
 class WordEncoder:
@@ -237,7 +237,10 @@ def _tree(long: DataFrame, keys: list, unit: int, path: str | None) -> DataFrame
                 names=[*batch.schema.names, "ids", "spans"])
 
     def joined(table: pa.Table) -> pa.Table:
-        """The parts of one text, neighbours with neighbours until one is left."""
+        """The parts of one text, neighbours with neighbours until one is left. A
+        whole text's row holds its final ids and no text."""
+        if table.column("_nodes")[0].as_py() == 1:
+            return table
         table = table.sort_by("_node").combine_chunks()
         sides = []
         for text, ids, spans in zip(*(table.column(c).to_pylist()
@@ -249,20 +252,15 @@ def _tree(long: DataFrame, keys: list, unit: int, path: str | None) -> DataFrame
             sides = [join_encoded(tokenizer(path), *sides[i:i + 2])
                      for i in range(0, len(sides), 2)]
         text, ids, spans = sides[0]
-        own = {"_node": table.column("_node")[0].as_py() >> levels,
-               "_nodes": table.column("_nodes")[0].as_py() >> levels, "text": text,
-               "ids": _narrow(ids), "spans": _edges(spans)}
+        nodes = table.column("_nodes")[0].as_py() >> levels
+        own = {"_node": table.column("_node")[0].as_py() >> levels, "_nodes": nodes}
+        own |= ({"text": None, "ids": ids.astype("<u4").tobytes(), "spans": None}
+                if nodes == 1 else
+                {"text": text, "ids": _narrow(ids), "spans": _edges(spans)})
         return pa.Table.from_arrays(
             [pa.array([own[f.name]], f.type) if f.name in own
              else table.column(f.name).slice(0, 1) for f in table.schema], schema=table.schema)
 
-    def finished(batches):
-        for batch in batches:
-            ids = [_wide(b).astype("<u4").tobytes() for b in batch.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keys)], pa.array(ids, pa.binary())],
-                names=batch.schema.names)
-
     names = [f.name for f in keys]
     size = F.ceil(F.length("text") / F.col("_nodes")).cast("int")
     cut = (long.withColumn("_nodes", _leaf_count(F.length("text"), unit))
@@ -276,8 +274,7 @@ def _tree(long: DataFrame, keys: list, unit: int, path: str | None) -> DataFrame
         level = level.groupBy("_key", F.floor(F.col("_node") / FAN).alias("_pair")) \
             .applyInArrow(joined, node)
         deepest //= FAN
-    return level.select(*names, "ids").mapInArrow(
-        finished, T.StructType([*keys, T.StructField("ids", T.BinaryType())]))
+    return level.select(*names, "ids")
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None,
@@ -312,7 +309,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = T.StructType(encoded.schema.fields + [T.StructField("decoded", T.StringType())])
 
     def table():
-        tok = tokenizer(path)
+        tok = _loaded(path)  # not kept: the table is enough
         if tok.decoder is not None:
             return None
         return [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
