@@ -26,7 +26,7 @@ from rolemill.llm.tables import worker_memory
 UNIT = 16_384
 # Distinct words a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 # Tokens at either end of a part whose places travel with it, for the joins.
 EDGE = 256
 # Leaves joined in one task; a power of two. Longer texts take further shuffles.
@@ -65,8 +65,8 @@ class WordEncoder:
 
     def _forget(self):
         self.known = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -111,7 +111,7 @@ class WordEncoder:
                 raw[starts[i]:ends[i]].tobytes().decode() for i in index[new]])
             at = np.searchsorted(self.known, hashes)
         at = at[back]
-        length = self.length[at]
+        length = self.length[at].astype(np.int64)
         end = np.cumsum(length)
         total = int(end[-1])
         where = np.repeat(self.start[at] - (end - length), length) + np.arange(total)
@@ -226,7 +226,7 @@ def _tree(long: DataFrame, keys: list, unit: int, path: str | None) -> DataFrame
 
     def leaves(batches):
         tok = tokenizer(path)
-        for batch in batches:
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, len(b), 128)):
             ids_out, spans_out = [], []
             for text in batch.column(batch.schema.names.index("text")).to_pylist():
                 ids, spans = _spans(tok.encode(text, add_special_tokens=False))
@@ -301,6 +301,18 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None,
     return out.select(*[F.col(g.name).alias(f.name) for f, g in zip(keys, inner)], "ids")
 
 
+def _by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 20):
+    """Slices of a batch whose binary column holds about ``size`` bytes each."""
+    start = held = 0
+    for row, value in enumerate(batch.column(column)):
+        held += len(value.as_buffer())
+        if held >= size:
+            yield batch.slice(start, row + 1 - start)
+            start, held = row + 1, 0
+    if start < len(batch):
+        yield batch.slice(start)
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the tokenizer's text of ``ids`` with special
     tokens. The tokenizer's file names no decoder: its text is the tokens in order
@@ -316,8 +328,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         spelled = worker_memory(f"tokens {path}", table)
-        parts = (b.slice(i, 256) for b in batches for i in range(0, len(b), 256))
-        for batch in parts:
+        for batch in (part for b in batches for part in _by_bytes(b, at)):
             out = []
             for b in batch.column(at):
                 ids = np.frombuffer(b.as_buffer(), "<u4").tolist()
