@@ -12,14 +12,3 @@ def let(value: Column, body) -> Column:
     of a one-element array avoids both and keeps the row in the JVM.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def pinned(value: Column) -> Column:
-    """``value``, evaluated where it is defined and nowhere else.
-
-    A filter on a derived column is normally pushed down by repeating the
-    column's whole expression, which multiplies the cost of text work that
-    itself builds on derived columns. The always-true random test keeps the
-    optimizer from copying the expression; an unused column is still pruned.
-    """
-    return F.when(F.rand(0) < 2.0, value)

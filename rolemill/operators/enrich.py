@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.functions import dates, extract, fingerprint, labels, pay, place, text
-from rolemill.functions.binding import pinned
 from rolemill.operators.skills import SkillMatcher, with_skills
 
 
@@ -13,15 +12,17 @@ def enrich(raw: DataFrame, matcher: SkillMatcher | None = None) -> DataFrame:
 
     Row-local from end to end, so it needs no shuffle; columns nobody selects
     are pruned together with the expressions behind them. Extra columns of
-    ``raw`` (keys, arrival order) pass through.
+    ``raw`` (keys, arrival order) pass through. A filter on a derived column
+    repeats that column's text work, so searches, facets and scores belong on
+    stored jobs (``operators.store``), where it is a pushed-down predicate.
     """
     c = F.col
     df = text.with_text(raw, "description_html", "_html_text")
-    df = df.withColumn("description_text", pinned(F.coalesce(
-        F.nullif("description_text", F.lit("")), "_html_text"))).drop("_html_text")
+    df = df.withColumn("description_text", F.coalesce(
+        F.nullif("description_text", F.lit("")), "_html_text")).drop("_html_text")
     df = df.withColumn("_amount", pay.salary_match(c("description_text")))
-    df = df.withColumn("_text_pay", pinned(pay.parse_salary(
-        c("description_text"), c("_amount"))))
+    df = df.withColumn("_text_pay", pay.parse_salary(
+        c("description_text"), c("_amount")))
     df = df.withColumns({
         "_place": place.merge_location(c("city"), c("state"), c("country"),
                                        c("postal_code"), c("location_raw")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rolemill import vocab
-from rolemill.functions.binding import let, pinned
+from rolemill.functions.binding import let
 
 # A gazetteer is a dimension table; beyond this many aliases one alternation
 # regex stops being the right tool, so loading it is refused, not truncated.
@@ -167,7 +167,7 @@ def with_skills(df: DataFrame, matcher: SkillMatcher, text: str = "description_t
             F.size(hits) > 0, let(mentions(low, hits), summary)))
 
     skills = let(F.lower(F.coalesce(F.col(text), F.lit(""))), of_text)
-    return df.withColumn(into, pinned(F.coalesce(skills, empty)))
+    return df.withColumn(into, F.coalesce(skills, empty))
 
 
 def job_skills(jobs: DataFrame, key: str = "job_id") -> DataFrame:

@@ -8,6 +8,7 @@ of a check start from the same rows and share nothing after that.
 """
 
 import datetime as dt
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from rolemill.operators.companies import refresh_metrics, seen_companies
 from rolemill.operators.enrich import enrich
 from rolemill.operators.search import Corpus
 from rolemill.operators.skills import SkillMatcher
+from rolemill.operators.store import save_jobs
+from rolemill.session import use_checkpoint_folder
 
 AS_OF = dt.datetime(2001, 8, 1)
 AS_OF_SQL = "TIMESTAMP '2001-08-01 00:00:00'"
@@ -67,12 +70,12 @@ SENTENCES = [
            "Hybrid schedule, 3 days in office.",
            "On-site role at our main campus &amp; nearby clinics."),
     choose(step(K, 5, 6),
-           "Requirements: Python, SQL and Docker. Preferred: Kubernetes and AWS.",
-           "Required skills include ICD-10, CPT codes, medical billing and Epic.",
-           "Experience with Excel, Tableau and PowerPoint; SQL is a plus.",
-           "Nice to have: Kubernetes, AWS and Terraform. Must have Linux and Git.",
-           "You will use C++, C#, Node.js, Python and more Python.",
-           "Customer service and data entry; bilingual Spanish helps."),
+           "Requirements: Python, SQL and Docker. Preferred: Kafka and Rust.",
+           "Required skills include cold chain, allergen labels and HACCP; Epic runs the till.",
+           "Work with Tableau, QGIS and LaTeX; SQL is a plus.",
+           "Nice to have: Rust, Kafka and Ansible. Must have Docker and Perl.",
+           "You will use C++, F#, Vue.js, Python and more Python.",
+           "Forklift licence and stock taking; fluent Portuguese helps."),
     choose(step(K, 3, 7),
            "Requires 3-5 years of experience.",
            "At least 7 years experience.",
@@ -249,45 +252,35 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Starter gazetteer for the checks; users load their own with
 # ``sources.reference.read_taxonomy``.
 SKILLS = [
-    ("Python", "technical", ["python3", "py"]),
-    ("SQL", "technical", ["structured query language", "t-sql", "tsql", "pl/sql"]),
-    ("C#", "technical", ["csharp", "c sharp", ".net", "dotnet"]),
-    ("C++", "technical", []),
-    ("Node.js", "technical", ["nodejs", "node js"]),
-    ("FastAPI", "technical", []),
-    ("PostgreSQL", "technical", ["postgres"]),
-    ("Amazon Web Services", "technical", ["aws"]),
-    ("Docker", "technical", []),
-    ("Kubernetes", "technical", ["k8s"]),
-    ("Terraform", "technical", []),
-    ("Git", "technical", []),
-    ("Linux", "technical", []),
-    ("Microsoft Excel", "tool", ["excel", "ms excel", "advanced excel"]),
-    ("PowerPoint", "tool", []),
-    ("Tableau", "tool", []),
-    ("Medical Billing", "healthcare", ["medical biller"]),
-    ("Revenue Cycle Management", "healthcare", ["rcm", "revenue cycle"]),
-    ("ICD-10", "healthcare", ["icd10", "icd 10"]),
-    ("CPT Coding", "healthcare", ["cpt", "cpt codes"]),
-    ("Denial Management", "healthcare", ["denials management", "claim denials"]),
-    ("Epic", "healthcare", ["epic systems"]),
-    ("Certified Professional Coder", "healthcare", ["cpc"]),
-    ("Financial Planning and Analysis", "finance", ["fp&a", "fpa"]),
-    ("Accounts Receivable", "finance", ["ar", "a/r"]),
-    ("Project Management", "operations", []),
-    ("Customer Support", "operations", ["customer service", "client support"]),
-    ("Data Entry", "operations", []),
-    ("Bilingual", "soft", ["bilingual spanish", "spanish speaking"]),
+    ("Python", "technical", ["cpython"]),
+    ("SQL", "technical", ["ansi sql"]),
+    ("C++", "technical", ["cpp"]),
+    ("F#", "technical", ["fsharp", "f sharp"]),
+    ("Vue.js", "technical", ["vuejs", "vue js"]),
+    ("Docker", "technical", ["docker compose"]),
+    ("Apache Kafka", "technical", ["kafka"]),
+    ("Rust", "technical", ["rustlang"]),
+    ("Ansible", "technical", []),
+    ("Perl", "technical", ["perl 5"]),
+    ("Tableau", "drawing", []),
+    ("QGIS", "drawing", ["quantum gis"]),
+    ("LaTeX", "drawing", []),
+    ("Food Safety", "food", ["haccp"]),
+    ("Cold Chain", "food", ["cold chain logistics"]),
+    ("Allergen Labelling", "food", ["allergen labels"]),
+    ("Forklift", "yard", ["forklift licence", "lift truck"]),
+    ("Stock Taking", "yard", ["stocktaking"]),
+    ("Portuguese", "language", ["fluent portuguese"]),
+    ("Epic", "software", []),
 ]
 MATCHER = SkillMatcher.from_rows(SKILLS)
 
 @lru_cache(maxsize=8)
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched corpus with its stored state.
-
-    Only the lazy plan is kept per session; every query runs it afresh.
-    """
-    return enrich(postings(spark, sf_dir), MATCHER)
+    """The enriched corpus with its stored state, written once a session."""
+    use_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/jobs-{uuid.uuid4().hex}"
+    return save_jobs(enrich(postings(spark, sf_dir), MATCHER), path)
 
 
 def research(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,10 @@ from rolemill.sources import payloads, reference
 from rolemill.streaming import ingest
 
 NOW = dt.datetime(2024, 6, 1)
-BODY = ("Looking for a Senior Medical Biller with ICD-10 and CPT {}. Requires 5 years "
-        "experience and a Bachelor's degree. Familiarity with Epic required. Denial "
-        "management and accounts receivable follow-up. $70,000 - $90,000 per year. We offer "
-        "health insurance, 401(k) matching and PTO. Visa sponsorship is available. This is a "
-        "fully remote position. Urgently hiring!")
+BODY = ("Six hundred hands pick our orchards; you keep their ledger straight. Required: SQL. {} "
+        "with Tableau helps. Four years of experience and a Bachelor's degree. $66,000 - $81,000 "
+        "per year. Dental cover, 401(k) matching and PTO. Visa sponsorship is available. The post "
+        "is fully remote. Urgently hiring!")
 
 
 def posting(source_job_id, title, company, place, body, source="remotive", url=None):
@@ -39,24 +38,24 @@ def posting(source_job_id, title, company, place, body, source="remotive", url=N
 
 
 POSTINGS = [
-    posting("100", "Senior Medical Biller", "Acme Health Inc.", "Dallas, TX",
-            BODY.format("experience"), url="https://boards.greenhouse.io/acmehealth/jobs/100"),
-    posting("101", "Revenue Cycle Analyst", "Beta Medical Group", "Austin, Texas",
-            "Analyst needed for our revenue cycle. SQL and Excel required. 3-5 years of "
-            "experience. Hybrid schedule, 3 days in office. Salary $60,000 to $75,000 "
-            "annually. We are unable to sponsor visas.", url="https://example.com/jobs/101"),
-    posting("102", "Python Engineer", "Gamma Software", "Remote",
-            "Build APIs with FastAPI and PostgreSQL as a Python engineer. Docker and AWS. At "
-            "least 7 years experience. Master's degree preferred. $140,000 per year. Equity "
-            "and stock options. Full-time. Relocation assistance offered.",
-            url="https://jobs.lever.co/gammasoftware/102"),
-    posting("103", "Junior Data Entry Clerk", "Delta Services LLC", "Chicago, IL 60601",
-            "Clerk for data entry. High school diploma or GED. Part time, 20 hrs. $18.00 per "
-            "hour. On-site in our Chicago office. No relocation assistance.",
-            url="https://example.com/jobs/103"),
-    posting("acmehealth:100", "Senior Medical Biller", "Acme Health LLC", "Dallas, TX",
-            BODY.format("expertise"), source="greenhouse",
-            url="https://boards.greenhouse.io/acmehealth/jobs/100-dup"),
+    posting("p-1", "Senior Payroll Accountant", "Larkspur Orchards Inc.", "Boise, ID",
+            BODY.format("Practice"), url="https://boards.greenhouse.io/larkspur/jobs/1"),
+    posting("p-2", "Pallet Planner", "Tern Ferry Lines", "Tulsa, Oklahoma",
+            "Decide which pallets ride on which ferry. Perl and Ansible glue the yard together. "
+            "3-6 years of experience. Hybrid week, two days at the quay. $58,000 to $71,000 "
+            "annually. No visa sponsorship.", url="https://example.com/jobs/2"),
+    posting("p-3", "Platform Engineer", "Quillon Maps", "Remote",
+            "Run the Docker and Kafka fleet that draws our maps. At least 9 years experience. "
+            "A Master's degree is welcome. $152,000 per year. Stock options and equity. "
+            "Full-time. Relocation assistance offered.",
+            url="https://jobs.lever.co/quillonmaps/p-3"),
+    posting("p-4", "Junior Archive Clerk", "Moss Library Services LLC", "Peoria, IL 61602",
+            "Shelve and label river charts. A GED is enough. Part time, three mornings. $17.50 "
+            "per hour. On-site at the branch. No relocation assistance.",
+            url="https://example.com/jobs/4"),
+    posting("larkspur:p-1", "Senior Payroll Accountant", "Larkspur Orchards LLC", "Boise, ID",
+            BODY.format("Fluency"), source="greenhouse",
+            url="https://boards.greenhouse.io/larkspur/jobs/1-again"),
 ]
 
 
@@ -81,7 +80,7 @@ def found(corpus_, **q):
 
 def test_near_duplicate_is_linked_not_dropped(small):
     assert found(small) == 4 and found(small, include_duplicates=True) == 5
-    row = search.search(small, {"job_title": "Senior Medical Biller"}, NOW).collect()
+    row = search.search(small, {"job_title": "Senior Payroll Accountant"}, NOW).collect()
     assert [(r.source_key, r.duplicate_count) for r in row] == [("greenhouse", 1)]
     outcomes = {r.source_key: r for r in upserts.outcome_counts(small.jobs).collect()}
     assert (outcomes["total"].new, outcomes["total"].duplicate) == (4, 1)
@@ -90,14 +89,14 @@ def test_near_duplicate_is_linked_not_dropped(small):
 @pytest.mark.parametrize("q,n", [
     ({"salary_min": 100000}, 1), ({"work_arrangements": ["remote"]}, 2),
     ({"work_arrangements": ["hybrid"]}, 1), ({"work_arrangements": ["onsite"]}, 1),
-    ({"experience_levels": ["entry"]}, 1), ({"required_skills": ["Python", "Docker"]}, 1),
-    ({"required_skills": ["Python", "Medical Billing"]}, 0), ({"exclude_skills": ["Python"]}, 3),
+    ({"experience_levels": ["entry"]}, 1), ({"required_skills": ["apache kafka", "Docker"]}, 1),
+    ({"required_skills": ["Docker", "Tableau"]}, 0), ({"exclude_skills": ["Docker"]}, 3),
     ({"years_experience_min": 7}, 1), ({"visa_sponsorship": True}, 1),
-    ({"visa_sponsorship": False}, 3), ({"relocation": True}, 1), ({"city": "dallas"}, 1),
-    ({"state": "il"}, 1), ({"postal_code": "60601"}, 1), ({"date_posted": "1"}, 0),
-    ({"date_posted": "3"}, 4), ({"company": "acme"}, 1), ({"sources": ["greenhouse"]}, 1),
-    ({"boolean": '("medical billing" OR biller) AND remote'}, 1),
-    ({"boolean": "engineer NOT python"}, 0), ({"keywords": "engineering"}, 1),
+    ({"visa_sponsorship": False}, 3), ({"relocation": True}, 1), ({"city": "boise"}, 1),
+    ({"state": "il"}, 1), ({"postal_code": "61602"}, 1), ({"date_posted": "1"}, 0),
+    ({"date_posted": "3"}, 4), ({"company": "larkspur"}, 1), ({"sources": ["greenhouse"]}, 1),
+    ({"boolean": '("payroll accountant" OR ferry) AND remote'}, 1),
+    ({"boolean": "engineer NOT docker"}, 0), ({"keywords": "engineering"}, 1),
     ({"company_ats": ["lever"]}, 1), ({"description_not_contains": "docker"}, 3),
 ])
 def test_searches(small, q, n):
@@ -106,14 +105,14 @@ def test_searches(small, q, n):
 
 def test_fields_of_the_five(small):
     rows = {r.source_job_id: r for r in small.jobs.collect()}
-    assert rows["103"].salary_annualized_min == 37440.0
-    assert rows["103"].employment_type == "part_time"
-    assert rows["102"].years_experience_min == 7 and rows["102"].education_level == "masters"
-    assert (rows["101"].years_experience_min, rows["101"].years_experience_max) == (3, 5)
-    assert rows["101"].visa_sponsorship_mentioned is False
-    assert rows["acmehealth:100"].urgently_hiring and "equity" in rows["102"].benefits
-    assert not rows["100"].is_primary
-    assert rows["100"].duplicate_of == rows["acmehealth:100"].job_id
+    assert rows["p-4"].salary_annualized_min == 36400.0
+    assert rows["p-4"].employment_type == "part_time"
+    assert rows["p-3"].years_experience_min == 9 and rows["p-3"].education_level == "masters"
+    assert (rows["p-2"].years_experience_min, rows["p-2"].years_experience_max) == (3, 6)
+    assert rows["p-2"].visa_sponsorship_mentioned is False
+    assert rows["larkspur:p-1"].urgently_hiring and "equity" in rows["p-3"].benefits
+    assert not rows["p-1"].is_primary
+    assert rows["p-1"].duplicate_of == rows["larkspur:p-1"].job_id
 
 
 def test_overview_and_analytics(small):
@@ -131,9 +130,9 @@ def test_overview_and_analytics(small):
 def test_sorting_and_pages(small):
     scope = search.search(small, {}, NOW)
     ids = [r.source_job_id for r in ranking.order_jobs(scope, "salary", "desc").collect()]
-    assert ids[0] == "102" and ids[-1] == "103"
+    assert ids[0] == "p-3" and ids[-1] == "p-4"
     first = ranking.page(ranking.order_jobs(scope, "salary", "desc"), 2, 3).collect()
-    assert [r.source_job_id for r in first] == ["103"]
+    assert [r.source_job_id for r in first] == ["p-4"]
     assert ranking.page_count(scope, 3).head().pages == 2
     with pytest.raises(ValueError):
         ranking.order_jobs(scope, "colour")
@@ -153,6 +152,16 @@ def test_export_files(spark, small, folder):
         export.write_export(rows.where("false"), folder, "csv", f"{folder}/log", NOW)
 
 
+def test_stored_jobs_are_searched_without_text_work(spark):
+    jobs = corpus.jobs(spark, "/root/testdata/sf0.001")
+    for q in ({"employment_types": ["full_time"]}, {"salary_min": 50000, "state": "TX"},
+              {"required_skills": ["Docker"]}, {"years_experience_min": 3}):
+        hits = search.search(search.Corpus(jobs), q, corpus.AS_OF)
+        plan = hits._jdf.queryExecution().executedPlan().toString().lower()
+        assert "regexp" not in plan and "rlike" not in plan and "python" not in plan
+        assert "pushedfilters: [isnotnull" in plan and hits.count() > 0
+
+
 # --- linking against brute force -------------------------------------------------------
 
 def brute_links(rows):
@@ -493,11 +502,11 @@ def test_streaming_is_idempotent(spark, folder):
     raw.where("source_key = 'remotive'").write.mode("append").json(f"{folder}/in")
     assert go().count() == 4
     assert go().count() == 4
-    raw.where("source_job_id in ('acmehealth:100', '101')").write.mode("append").json(
+    raw.where("source_job_id in ('larkspur:p-1', 'p-2')").write.mode("append").json(
         f"{folder}/in")
     jobs = go()
     assert jobs.count() == 5 and jobs.where("is_primary").count() == 4
-    top = jobs.where("is_primary and title = 'Senior Medical Biller'").head()
+    top = jobs.where("is_primary and title = 'Senior Payroll Accountant'").head()
     assert top.source_key == "greenhouse" and top.duplicate_count == 1
     assert {r.outcome: r["count"] for r in jobs.where("outcome is not null").groupBy(
         "outcome").count().collect()} == {"updated": 1, "duplicate": 1}
