@@ -4,9 +4,11 @@ Equal vectors are one node. A coordinate that makes all lengths equal turns the
 largest inner product into the nearest neighbour. The graph starts from blocks of
 vectors on the same side of random planes; then every round joins each node's
 neighbours with each other (neighbours of neighbours), and all keep their nearest.
-Queries start at the best of a bounded set of entry nodes and, hop by hop, expand the
-best nodes not yet expanded along the graph's edges in both directions. What they
-found is scored again in double precision on the given vectors.
+Queries start at the best of a bounded set of entry nodes and at the neighbours of
+their own node, and, hop by hop, expand the best nodes not yet expanded along the
+graph's edges in both directions. Up to there vectors travel as one byte a component
+with a factor each; what was found is scored again in double precision on the given
+vectors.
 
 Null, empty and zero vectors and those with null or non-finite components take no
 part, nor do vectors that are not as long as the longest that take part, nor null ids.
@@ -20,21 +22,34 @@ from pyspark.sql import functions as F
 
 from rolemill.llm.tables import keep
 
-DEGREE = 24
-JOINED = 14
+DEGREE = 32
+JOINED = 8
 ROUNDS = 2
-TABLES = 3
-BLOCK = 64
+TABLES = 12
+BLOCK = 2048
+BLOCK_TOP = 10
 ENTRIES = 1024
-POOL = 120
-EXPANDED = 24
-HOPS = 7
+POOL = 160
+EXPANDED = 40
+HOPS = 4
+# Rows of a block compared at once, so that memory is bounded.
+ROWS = 256
+
+
+def _coded(v: np.ndarray) -> list[bytes]:
+    """Each row as a factor (float32) and one signed byte a component."""
+    factor = np.maximum(np.abs(v).max(1), 1e-30).astype("<f4") / np.float32(127)
+    part = np.rint(v / factor[:, None]).astype(np.int8)
+    whole = np.concatenate([factor[:, None].view(np.uint8), part.view(np.uint8)], 1)
+    return [row.tobytes() for row in whole]
 
 
 def _matrix(column) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, "<f4").reshape(len(column), -1) if len(column) else \
-        np.zeros((0, 1), "<f4")
+    if not len(column):
+        return np.zeros((0, 1), np.float32)
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    factor = np.ascontiguousarray(whole[:, :4]).view("<f4")
+    return whole[:, 4:].view(np.int8) * factor
 
 
 def _groups(batches, key: str):
@@ -65,16 +80,16 @@ def _near_in_groups(rows: DataFrame, key: str, top: int) -> DataFrame:
             begin = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
             us, xs, ss = [], [], []
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-                own, v = ids[a:b], vec[a:b]
-                s = v @ v.T
-                s[own[:, None] == own[None, :]] = -np.inf
-                t = min(top, b - a)
-                best = np.argpartition(-s, t - 1, 1)[:, :t]
-                value = np.take_along_axis(s, best, 1)
-                i, j = np.nonzero(value > kth[a:b, None])
-                us.append(own[i])
-                xs.append(own[best[i, j]])
-                ss.append(value[i, j])
+                own, v, t = ids[a:b], vec[a:b], min(top, b - a)
+                for c in range(0, b - a, ROWS):
+                    s = v[c:c + ROWS] @ v.T
+                    s[own[c:c + ROWS, None] == own[None, :]] = -np.inf
+                    best = np.argpartition(s, b - a - t, 1)[:, b - a - t:]
+                    value = np.take_along_axis(s, best, 1)
+                    i, j = np.nonzero(value > kth[a + c:a + c + len(s), None])
+                    us.append(own[c + i])
+                    xs.append(own[best[i, j]])
+                    ss.append(value[i, j])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(us)), pa.array(np.concatenate(xs)),
                  pa.array(np.concatenate(ss).astype(np.float32))], names=["u", "x", "s"])
@@ -86,7 +101,7 @@ def _near_in_groups(rows: DataFrame, key: str, top: int) -> DataFrame:
 
 def _nearest(found: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("u").orderBy(F.desc("s"), "x")
-    return (found.groupBy("u", "x").agg(F.max("s").alias("s"))
+    return (found.repartition("u").groupBy("u", "x").agg(F.max("s").alias("s"))
             .withColumn("k", F.row_number().over(order)).where(F.col("k") <= top))
 
 
@@ -99,18 +114,21 @@ def nodes_of(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, Data
         (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (
             F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn(
         "h", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    size, longest = whole.agg(F.max(F.size("v")), F.max(norm)).first()
+    # Scaled by the largest component, so that no square overflows.
+    size, widest = whole.agg(
+        F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     members = whole.where(F.size("v") == (size or 0))
-    node = members.groupBy("h").agg(F.min("id").alias("node"), F.first("v").alias("v"))
+    node = members.groupBy("h").agg(F.min("id").alias("node"), F.first("v").alias("v")).select(
+        "h", "node", F.transform("v", lambda x: x / F.lit(widest or 1.0)).alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    longest = node.agg(F.max(norm)).first()[0]
     extra = F.sqrt(F.greatest(F.lit(0.0), F.lit(longest or 0.0) - norm))
     nodes = node.select("node", "h", F.concat("v", F.array(extra)).alias("vec"))
 
     def pack(batches):
         for b in batches:
-            lists = b.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4")
-            rows = [r.tobytes() for r in flat.reshape(len(b), -1)] if len(b) else []
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            rows = _coded(flat.reshape(len(b), -1)) if len(b) else []
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(rows, pa.binary())],
                 names=["node", "h", "vec"])
@@ -124,6 +142,7 @@ def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
     """The graph (u, x, s, k): each node's ``degree`` nearest found."""
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / BLOCK))))
+    tables = tables if bits else 1  # without planes all tables are the same
 
     def coded(batches):
         for b in batches:
@@ -142,7 +161,8 @@ def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
     block = F.xxhash64("code", F.pmod(F.xxhash64(F.lit(seed), "u"), F.ceil(F.col("c") / (2 * BLOCK))))
     start = rows.join(count, "code").select(
         block.alias("w"), "u", F.lit(float("-inf")).cast("float").alias("kth"), "vec")
-    graph = keep(_nearest(_near_in_groups(start, "w", degree), degree))
+    graph = keep(_nearest(
+        _near_in_groups(start, "w", max(BLOCK_TOP, -(-degree // tables))), degree))
     for _ in range(rounds):
         kth = graph.groupBy("u").agg(
             F.when(F.count(F.lit(1)) < degree, float("-inf")).otherwise(F.min("s"))
@@ -165,7 +185,8 @@ def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = HOPS,
            pool: int = POOL, expanded: int = EXPANDED, seed: int = 5) -> DataFrame:
-    """(q, x) pools of the nodes found for ``queries`` (q, qv)."""
+    """(q, x) pools of the nodes found for ``queries`` (q, qv); a query that is a node
+    starts at that node's neighbours too."""
     entry = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(ENTRIES).select(
         "node", "vec").toArrow()
     shared = nodes.sparkSession.sparkContext.broadcast(
@@ -191,22 +212,28 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = H
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(s.astype(np.float32))], names=["q", "x", "s"])
 
+    def with_scores(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(queries, "q").join(
+            nodes.select(F.col("node").alias("x"), "vec"), "x").select("q", "qv", "x", "vec")
+            .mapInArrow(scored, "q long, x long, s float"))
+
     links = graph.select(F.col("u").alias("x"), F.col("x").alias("y"))
     back = graph.where(F.col("k") <= JOINED).select(F.col("x"), F.col("u").alias("y"))
     adjacent = keep(links.unionByName(back).distinct())
     best = Window.partitionBy("q").orderBy(F.desc("s"), "x")
     ready = Window.partitionBy("q", "done").orderBy(F.desc("s"), "x")
-    state = queries.mapInArrow(starts, "q long, x long, s float").withColumn("done", F.lit(False))
-    for hop in range(hops):
+    own = graph.join(queries.select(F.col("q").alias("u")), "u").select(F.col("u").alias("q"), "x")
+    state = (queries.mapInArrow(starts, "q long, x long, s float")
+             .unionByName(with_scores(own)).groupBy("q", "x").agg(F.max("s").alias("s"))
+             .withColumn("done", F.lit(False)))
+    for _ in range(hops):
         front = keep(state.withColumn("r", F.row_number().over(ready)).withColumn(
             "go", ~F.col("done") & (F.col("r") <= expanded)).drop("r"))
-        new = front.where("go").join(adjacent, "x").select("q", F.col("y").alias("x")).distinct()
-        new = new.join(front.select("q", "x"), ["q", "x"], "left_anti")
-        found = (queries.join(new, "q").join(
-            nodes.select(F.col("node").alias("x"), "vec"), "x").select("q", "qv", "x", "vec")
-            .mapInArrow(scored, "q long, x long, s float"))
+        new = (front.where("go").join(adjacent, "x").select("q", F.col("y").alias("x"), F.lit(0).alias("known"))
+               .unionByName(front.select("q", "x", F.lit(1).alias("known")))
+               .groupBy("q", "x").agg(F.max("known").alias("known")).where("known = 0"))
         state = (front.select("q", "x", "s", (F.col("done") | F.col("go")).alias("done"))
-                 .unionByName(found.withColumn("done", F.lit(False)))
+                 .unionByName(with_scores(new.select("q", "x")).withColumn("done", F.lit(False)))
                  .withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool).drop("r"))
     return keep(state.select("q", "x"))
 
@@ -226,7 +253,8 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
             m = _matrix(b.column(1)).copy()
             m[:, -1] = 0
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r.tobytes() for r in m], pa.binary())], names=["q", "qv"])
+                [b.column(0), pa.array(_coded(m) if len(m) else [], pa.binary())],
+                names=["q", "qv"])
 
     queries = keep(distinct_q.select("node", "vec").mapInArrow(flat, "q long, qv binary"))
     pools = search(queries, nodes, graph)
