@@ -2,19 +2,23 @@
 
 Equal vectors are one node. A coordinate that makes all lengths equal turns the
 largest inner product into the nearest neighbour. The graph starts from blocks of
-vectors on the same side of random planes; then every round joins each node's
-neighbours with each other (neighbours of neighbours), and all keep their nearest.
+vectors on the same side of random planes; blocks that are too large are cut by
+planes of their own through their centre, other planes in every table, until they
+fit. Then every round joins each node's neighbours with each other (neighbours of
+neighbours), and all keep their nearest, until few edges change.
 Queries start at the best of a bounded set of entry nodes and at the neighbours of
 their own node, and, hop by hop, expand the best nodes not yet expanded along the
-graph's edges in both directions. Up to there vectors travel as one byte a component
+graph's edges in both directions. Up to there vectors travel as two bytes a component
 with a factor each; what was found is scored again in double precision on the given
 vectors.
 
 Null, empty and zero vectors and those with null or non-finite components take no
-part, nor do vectors that are not as long as the longest that take part, nor null ids.
-Of equal rows each is a candidate of its own. Ties go to the smaller id.
+part, nor do null ids. Vectors of different lengths have no inner product: those of
+each length are searched among themselves. Of equal rows each is a candidate of its own. Ties go to the smaller id.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,7 +28,8 @@ from rolemill.llm.tables import keep
 
 DEGREE = 32
 JOINED = 8
-ROUNDS = 2
+# Rounds end when a smaller share of the edges is new.
+CHANGED = 0.01
 TABLES = 12
 BLOCK = 2048
 BLOCK_TOP = 10
@@ -37,9 +42,9 @@ ROWS = 256
 
 
 def _coded(v: np.ndarray) -> list[bytes]:
-    """Each row as a factor (float32) and one signed byte a component."""
-    factor = np.maximum(np.abs(v).max(1), 1e-30).astype("<f4") / np.float32(127)
-    part = np.rint(v / factor[:, None]).astype(np.int8)
+    """Each row as a factor (float32) and two signed bytes a component."""
+    factor = np.maximum(np.abs(v).max(1), 1e-30).astype("<f4") / np.float32(32767)
+    part = np.rint(v / factor[:, None]).astype("<i2")
     whole = np.concatenate([factor[:, None].view(np.uint8), part.view(np.uint8)], 1)
     return [row.tobytes() for row in whole]
 
@@ -49,7 +54,7 @@ def _matrix(column) -> np.ndarray:
         return np.zeros((0, 1), np.float32)
     whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     factor = np.ascontiguousarray(whole[:, :4]).view("<f4")
-    return whole[:, 4:].view(np.int8) * factor
+    return np.ascontiguousarray(whole[:, 4:]).view("<i2") * factor
 
 
 def _groups(batches, key: str):
@@ -100,24 +105,28 @@ def _near_in_groups(rows: DataFrame, key: str, top: int) -> DataFrame:
 
 
 def _nearest(found: DataFrame, top: int) -> DataFrame:
+    """The ``top`` edges of each node; ``new`` is 0 for those known before."""
     order = Window.partitionBy("u").orderBy(F.desc("s"), "x")
-    return (found.repartition("u").groupBy("u", "x").agg(F.max("s").alias("s"))
+    return (found.repartition("u").groupBy("u", "x")
+            .agg(F.max("s").alias("s"), F.min("new").alias("new"))
             .withColumn("k", F.row_number().over(order)).where(F.col("k") <= top))
 
 
-def nodes_of(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """(node, vec) of the distinct valid vectors, and (node, id) of their members."""
+def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v, h) of the rows that take part; h is equal for equal vectors."""
     v = F.col(vector).cast("array<double>")
     whole = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
         F.col(key).cast("long").alias("id"), v.alias("v"))
-    whole = keep(whole.where(
+    return keep(whole.where(
         (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (
             F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn(
         "h", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)))
+
+
+def nodes_of(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, vec) of the distinct vectors of one length, and (node, id) of their rows."""
     # Scaled by the largest component, so that no square overflows.
-    size, widest = whole.agg(
-        F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    members = whole.where(F.size("v") == (size or 0))
+    widest = members.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
     node = members.groupBy("h").agg(F.min("id").alias("node"), F.first("v").alias("v")).select(
         "h", "node", F.transform("v", lambda x: x / F.lit(widest or 1.0)).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -137,9 +146,71 @@ def nodes_of(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, Data
     return nodes, members.join(nodes.select("h", "node"), "h").select("node", "id", "v")
 
 
-def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
+def _cut(rows: DataFrame, hot: DataFrame, seed: int) -> DataFrame:
+    """(u, code, before, vec): the rows of the codes in ``hot`` (code, c), each code cut
+    by planes of its own through the mean of its members."""
+    def sums(batches):
+        total = {}
+        for b in batches:
+            codes, v = b.column(0).to_numpy(), _matrix(b.column(1)).astype(np.float64)
+            for code in np.unique(codes).tolist():
+                own = v[codes == code]
+                n, t = total.get(code, (0, 0.0))
+                total[code] = n + len(own), t + own.sum(0)
+        for code, (n, t) in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([code], pa.int64()), pa.array([n], pa.int64()),
+                 pa.array([t.tolist()], pa.list_(pa.float64()))], names=["code", "n", "t"])
+
+    def cut(batches):
+        for b in batches:
+            codes, c = b.column(1).to_numpy(), b.column(2).to_numpy()
+            v, sub = _matrix(b.column(3)), np.zeros(len(b), np.int64)
+            each, first = np.unique(codes, return_index=True)
+            for code, i in zip(each.tolist(), first.tolist()):
+                own = np.flatnonzero(codes == code)
+                bits = int(np.ceil(np.log2(c[i] / BLOCK)))
+                planes = np.random.default_rng([seed, code % (1 << 64)]).standard_normal(
+                    (bits, v.shape[1]))
+                side = (v[own] - np.array(b.column(4)[i].as_py())) @ planes.T > 0
+                sub[own] = (side * (1 << np.arange(bits))).sum(1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(sub), b.column(2), b.column(3)],
+                names=["u", "code", "sub", "before", "vec"])
+
+    own = rows.join(hot, "code")
+    mean = (own.select("code", "vec").mapInArrow(sums, "code long, n long, t array<double>")
+            .select("code", "n", F.posexplode("t").alias("i", "x"))
+            .groupBy("code", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+            .groupBy("code").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
+            .select("code", F.col("m.x").alias("mean")))
+    return (own.join(keep(mean), "code").select("u", "code", "c", "vec", "mean")
+            .mapInArrow(cut, "u long, code long, sub long, before long, vec binary")
+            .select("u", F.xxhash64("code", "sub").alias("code"), "before", "vec"))
+
+
+def blocks(rows: DataFrame, seed: int) -> DataFrame:
+    """(w, u, vec): ``rows`` (u, code, vec) in blocks w of at most 2 * BLOCK."""
+    rows, fit = rows.withColumn("before", F.lit(None).cast("long")), None
+    while True:
+        count = keep(rows.groupBy("code").agg(
+            F.count(F.lit(1)).alias("c"), F.max("before").alias("_b")))
+        # No plane divides vectors of equal bytes, which are all equally near here.
+        done = (F.col("c") <= 2 * BLOCK) | F.coalesce(F.col("c") == F.col("_b"), F.lit(False))
+        part = F.pmod(F.xxhash64(F.lit(seed), "code", "u"), F.ceil(F.col("c") / (2 * BLOCK)))
+        ready = rows.join(count.where(done), "code").select(
+            F.xxhash64("code", part).alias("w"), "u", "vec")
+        fit = ready if fit is None else fit.unionByName(ready)
+        hot = keep(count.where(~done).select("code", "c"))
+        if hot.isEmpty():
+            return fit
+        rows = keep(_cut(rows.select("u", "code", "vec"), hot, seed))
+
+
+def build(nodes: DataFrame, degree: int = DEGREE, rounds: int | None = None,
           tables: int = TABLES, seed: int = 5) -> DataFrame:
-    """The graph (u, x, s, k): each node's ``degree`` nearest found."""
+    """The graph (u, x, s, k): each node's ``degree`` nearest found. Rounds go on until
+    few edges change, or ``rounds`` times."""
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / BLOCK))))
     tables = tables if bits else 1  # without planes all tables are the same
@@ -157,13 +228,12 @@ def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
                     names=["u", "code", "vec"])
 
     rows = nodes.select("node", "vec").mapInArrow(coded, "u long, code long, vec binary")
-    count = keep(rows.groupBy("code").agg(F.count(F.lit(1)).alias("c")))
-    block = F.xxhash64("code", F.pmod(F.xxhash64(F.lit(seed), "u"), F.ceil(F.col("c") / (2 * BLOCK))))
-    start = rows.join(count, "code").select(
-        block.alias("w"), "u", F.lit(float("-inf")).cast("float").alias("kth"), "vec")
+    start = blocks(rows, seed).withColumn("kth", F.lit(float("-inf")).cast("float"))
     graph = keep(_nearest(
-        _near_in_groups(start, "w", max(BLOCK_TOP, -(-degree // tables))), degree))
-    for _ in range(rounds):
+        _near_in_groups(start, "w", max(BLOCK_TOP, -(-degree // tables)))
+        .withColumn("new", F.lit(1)), degree))
+    done = 0
+    while rounds is None or done < rounds:
         kth = graph.groupBy("u").agg(
             F.when(F.count(F.lit(1)) < degree, float("-inf")).otherwise(F.min("s"))
             .cast("float").alias("kth"))
@@ -179,7 +249,13 @@ def build(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
             "w", F.col("m").alias("u"), F.coalesce("kth", F.lit(float("-inf")).cast("float"))
             .alias("kth"), "vec")
         better = _near_in_groups(local, "w", 8)
-        graph = keep(_nearest(graph.select("u", "x", "s").unionByName(better), degree))
+        graph = keep(_nearest(
+            graph.select("u", "x", "s", F.lit(0).alias("new"))
+            .unionByName(better.withColumn("new", F.lit(1))), degree))
+        done += 1
+        edges, new = graph.agg(F.count(F.lit(1)), F.sum("new")).first()
+        if (new or 0) <= CHANGED * edges:
+            break
     return graph
 
 
@@ -241,8 +317,19 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = H
 def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                every: int = 20, top: int = 20) -> DataFrame:
     """The ``top`` candidates of largest inner product found for each query; queries
-    are the rows whose key is divisible by ``every``."""
-    nodes, members = nodes_of(vectors, key, vector)
+    are the rows whose key is divisible by ``every``. Vectors of each length have their
+    own graph."""
+    whole = valid(vectors, key, vector)
+    sizes = whole.groupBy(F.size("v").alias("n")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(F.col("id") % every == 0).alias("asked"))
+    alike = [r["n"] for r in sizes.where("c > 1 and asked").orderBy("n").collect()]
+    found = [_neighbours(whole.where(F.size("v") == n), every, top) for n in alike or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _neighbours(whole: DataFrame, every: int, top: int) -> DataFrame:
+    """``neighbours`` of valid vectors of one length."""
+    nodes, members = nodes_of(whole)
     members = keep(members)
     graph = build(nodes)
     asked = members.where(F.col("id") % every == 0).select("node", "id", "v").distinct()
