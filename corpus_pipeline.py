@@ -20,17 +20,27 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that other sites have had before."""
-    out = line_dedup.dedup_lines(docs)
+    """The documents, without the lines that other sites have had before. A document
+    that this leaves without words goes: all it said stands in the first occurrences."""
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = line_dedup.dedup_lines(docs).where(~F.coalesce(emptied, F.lit(False)))
     return out.select(*[_n_chars() if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Documents without
-    words are no copies of each other and stay."""
-    gone = ngram_join.link(docs).where("not is_first").select("doc_id", "k").distinct()
-    return (docs.withColumn("k", F.xxhash64("text")).join(gone, ["doc_id", "k"], "left_anti")
-            .select(*docs.columns))
+    """One document of each group: the one with the smallest id, null ids last.
+    Documents without words are no copies of each other and stay; of rows equal in id
+    and text one stays."""
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    linked = ngram_join.link(rows, key="_row").select(
+        F.col("doc_id").alias("_row"), "k", "n_shingles", "component_id")
+    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [alone.alias("_alone"), F.when(alone, F.col("k")).otherwise(
+        F.col("component_id")).alias("_group"), F.when(alone, F.col("doc_id")).alias("_id")]
+    first = (rows.select("_row", "doc_id").join(linked, "_row").groupBy(*group)
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k", "_row")).alias("_first"))
+             .select("_first._row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
