@@ -9,7 +9,10 @@ format and validates too, the mapping is one to one within a format, and equal
 values have equal pseudonyms in all documents. E-mail addresses and secrets are
 permuted letter by letter and digit by digit; ``@``, dots and separators stay.
 
-What fails validation stays as it is. Whole texts are searched; null and empty texts
+What fails validation stays as it is, but a stretch of groups that is no valid card or
+account number as a whole is searched for those that are: each begins and ends at a
+separator or at the stretch's ends, the longest first. What they leave is searched for
+cards, secrets, dates, social security and phone numbers. Whole texts are searched; null and empty texts
 stay; other columns and repeated rows pass through.
 """
 
@@ -21,23 +24,29 @@ from rolemill.functions.binding import let
 KEY = "change me"
 ROUNDS = 6
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IBAN = (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2}[0-9A-Z ]*(?<=[0-9A-Z])")
+_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12}[0-9 -]*(?<=[0-9])"
+_OPEN = r"(?![0-9A-Za-z]|[-._%+@/:][0-9A-Za-z])"
 # In the order in which they are tried at a place.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
               r"|sk-[0-9A-Za-z]{20,48})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"
-            r"(?![0-9A-Za-z])",
+    # Stretches of any length; the first ends before what may begin another value.
+    "iban": rf"{_IBAN}{_OPEN}|{_IBAN}(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date_iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
     "date_dmy": r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": rf"{_CARD}{_OPEN}|{_CARD}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])"
              r"[0-9]{3}[ .-][0-9]{4}(?![0-9])"
              r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+WHOLE = {k: f"^(?:{p})$" for k, p in KINDS.items()}
+_IN_CARDS = "|".join(f"(?:{KINDS[k]})" for k in ("secret", "date_iso", "ssn", "phone"))
+_ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?$"
 # A text without these has nothing to find; the test is cheap.
 _HINT = "@|[0-9][0-9 ./()-]{6,}|[0-9a-zA-Z_-]{20}"
 
@@ -77,7 +86,7 @@ def _symbols(text: Column, tweak: str, key: str, hexed: bool = False) -> Column:
     """Digits and letters permuted within their class, other characters kept."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     first = lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).otherwise(65)
-    letters = F.when(text.rlike("^[0-9a-f]+$"), 6).otherwise(26) if hexed else F.lit(26)
+    letters = F.when(text.rlike("^[0-9A-Fa-f]+$"), 6).otherwise(26) if hexed else F.lit(26)
     span = lambda c: F.when(c.rlike("[0-9]"), 10).otherwise(letters)
 
     def put(c: Column) -> Column:
@@ -120,6 +129,10 @@ def _filled(pattern: Column, digits: Column) -> Column:
                  .otherwise(x)).alias("s")))["s"]
 
 
+def _is_card(m: Column) -> Column:
+    return m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & (_luhn(_digits(m)) == 0)
+
+
 def _card(m: Column, key: str) -> Column:
     def put(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), _symbols(
@@ -127,7 +140,7 @@ def _card(m: Column, key: str) -> Column:
         return let(body, lambda b: _filled(m, F.concat(b, F.pmod(
             10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
-    return F.when(_luhn(_digits(m)) == 0, let(_digits(m), put)).otherwise(m)
+    return F.when(_is_card(m), let(_digits(m), put)).otherwise(m)
 
 
 def _mod97(account: Column) -> Column:
@@ -137,8 +150,12 @@ def _mod97(account: Column) -> Column:
                        .otherwise(a * 100 + F.ascii(c) - 55) % 97)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _is_iban(m: Column) -> Column:
     moved = lambda t: F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4))
+    return m.rlike(_ACCOUNT) & (_mod97(moved(F.replace(m, F.lit(" "), F.lit("")))) == 1)
+
+
+def _iban(m: Column, key: str) -> Column:
     solid = lambda t: F.replace(t, F.lit(" "), F.lit(""))
 
     def put(body: Column) -> Column:
@@ -146,7 +163,7 @@ def _iban(m: Column, key: str) -> Column:
                        .cast("string"), 2, "0")
         return F.concat(F.substring(m, 1, 2), check, body)
 
-    return F.when(_mod97(moved(solid(m))) == 1, let(_symbols(
+    return F.when(_is_iban(m), let(_symbols(
         F.substring(m, F.lit(5), F.length(m)), "iban", key), put)).otherwise(m)
 
 
@@ -192,9 +209,67 @@ def _phone(m: Column, key: str) -> Column:
     return F.concat(code, _symbols(rest, "phone", key))
 
 
+def _piece(text: Column, value: Column | bool) -> Column:
+    return F.struct(text.alias("t"), F.lit(value).alias("v") if isinstance(value, bool)
+                    else value.alias("v"))
+
+
+def _valid_spans(m: Column, is_value, most: int) -> Column:
+    """``m`` in pieces (t, v): from the left, the longest spans of groups that are valid
+    values (v), of ``most`` groups at most, and what is between them."""
+    def scan(g: Column) -> Column:
+        span = lambda i, j: F.array_join(F.slice(g, i, j - i + 1), "")
+
+        def step(a: Column, i: Column) -> Column:
+            ends = F.reverse(F.sequence(i, F.least(F.size(g), i + 2 * most - 2)))
+            good = F.filter(ends, lambda j: ~g[j - 1].rlike("[ -]") & is_value(span(i, j)))
+            begins = (i > a["end"]) & ~g[i - 1].rlike("[ -]")
+            end = F.when(begins, F.get(F.slice(good, 1, 1), F.lit(0)))
+            return let(end, lambda e: F.when(e.isNull(), a).otherwise(F.struct(
+                e.cast("int").alias("end"), F.concat(a["out"], F.array(
+                    _piece(span(a["end"] + 1, i - 1), False),
+                    _piece(span(i, e), True))).alias("out"))))
+
+        start = F.struct(F.lit(0).alias("end"),
+                         F.array().cast("array<struct<t:string,v:boolean>>").alias("out"))
+        done = F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step)
+        return let(done, lambda d: F.concat(d["out"], F.array(
+            _piece(span(d["end"] + 1, F.size(g)), False))))
+
+    return F.when(is_value(m), F.array(_piece(m, True))).otherwise(
+        let(F.regexp_extract_all(m, F.lit("[^ -]+|[ -]"), F.lit(0)), scan))
+
+
+def _again(pieces: Column, pattern: str, cut) -> Column:
+    """``pieces`` whose gaps are searched for ``pattern``; ``cut`` gives a find's pieces."""
+    def gap(t: Column) -> Column:
+        finds = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return let(finds, lambda f: F.flatten(F.transform(F.split(t, pattern), lambda x, i: F.concat(
+            F.array(_piece(x, False)), F.when(i < F.size(f), cut(F.get(f, i))).otherwise(
+                F.array().cast("array<struct<t:string,v:boolean>>"))))))
+
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["v"], F.array(
+        _piece(p["t"], p["v"]))).otherwise(gap(p["t"]))))
+
+
+def values_in(m: Column) -> Column:
+    """A found stretch as the values in it and what is between them, in order."""
+    one = lambda x: F.array(_piece(x, True))
+    cards = lambda x: _valid_spans(x, _is_card, 19)
+    texts = lambda pieces: F.filter(F.transform(
+        pieces, lambda p: p["t"]), lambda t: t != "")
+    account = m.rlike(WHOLE["iban"]) & ~m.rlike(WHOLE["email"]) & ~m.rlike(WHOLE["secret"])
+    card = m.rlike(WHOLE["card"]) & ~m.rlike(WHOLE["secret"])
+    inner = lambda pieces: _again(pieces, _IN_CARDS, one)
+    return (F.when(account & ~_is_iban(m), texts(inner(_again(
+                _valid_spans(m, _is_iban, 9), KINDS["card"], cards))))
+            .when(card & ~_is_card(m), texts(inner(cards(m))))
+            .otherwise(F.array(m)))
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one found value."""
-    whole = {k: f"^(?:{p})$" for k, p in KINDS.items()}
+    """The pseudonym of one found value; other texts stay."""
+    whole = WHOLE
     dotted = F.substring(m, 3, 1) == "."
     return (F.when(m.rlike(whole["email"]), _symbols(m, "email", key))
             .when(m.rlike(whole["secret"]), _symbols(m, "secret", key, hexed=True))
@@ -207,7 +282,8 @@ def pseudonym(m: Column, key: str) -> Column:
                 .otherwise(_date(m, key, "dd/MM/yyyy")))
             .when(m.rlike(whole["ssn"]), _ssn(m, key))
             .when(m.rlike(whole["card"]), _card(m, key))
-            .otherwise(_phone(m, key)))
+            .when(m.rlike(whole["phone"]), _phone(m, key))
+            .otherwise(m))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY,
@@ -220,8 +296,12 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY,
     new = F.array_join(F.transform(between, lambda x, i: F.concat(
         x, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
     some = F.coalesce(F.size("_hits"), F.lit(0)) > 0
-    made = made.withColumn("_new", F.when(some, F.transform(
-        F.col("_hits"), lambda m: pseudonym(m, key))))
+    made = made.withColumn("_values", F.when(some, F.transform("_hits", values_in)))
+    made = made.withColumn("_new", F.when(some, F.transform("_values", lambda v: F.array_join(
+        F.transform(v, lambda m: pseudonym(m, key)), ""))))
+    # A stretch without a valid value counts as one, as other finds do.
+    n = F.aggregate("_values", F.lit(0), lambda a, v: a + F.greatest(F.lit(1), F.size(
+        F.filter(v, lambda m: m.rlike(f"^(?:{ANY})$")))))
     return made.select(*[F.when(some, new).otherwise(t).alias(c) if c == text else F.col(c)
                          for c in docs.columns if c != found],
-                       F.when(some, F.size("_hits")).otherwise(0).cast("long").alias(found))
+                       F.when(some, n).otherwise(0).cast("long").alias(found))

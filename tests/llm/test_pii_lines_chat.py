@@ -51,6 +51,28 @@ def test_values_change_within_their_format_and_stay_linked(spark):
     assert not set(STAY) & {x for x, y in zip(STAY, run(spark, STAY)) if x != y}
 
 
+def test_valid_values_next_to_digits_and_capitals(spark):
+    card, amount = "4111 1111 1111 1111", "AT611904300234573201"
+    texts = [f"{card} 12/25", "4111111111111111 123", "2 4539148803436467", f"{amount} EUR",
+             "AT61 1904 3002 3457 3201 2024-02-29", f"XY12 ABCD EFGH {amount} {card}",
+             f"{card} 4539 1488 0343 6467 219-09-9999", "4111111111111111 31.12.1999",
+             "123 456 7890 123 456 7891", f"{card} " * 300, "TOKEN=9233A8EC01F5B7D69233A8EC01F5B7D6"]
+    for old, new in zip(texts, run(spark, texts)):
+        assert shape(old) == shape(new) and old != new
+    out = run(spark, texts)
+    alone = run(spark, [card, "4539 1488 0343 6467", "219-09-9999", amount, "2024-02-29", "31.12.1999"])
+    assert out[0] == f"{alone[0]} 12/25"
+    assert out[1] == f"{alone[0].replace(' ', '')} 123"
+    assert out[2] == f"2 {alone[1].replace(' ', '')}"
+    assert out[3] == f"{alone[3]} EUR"
+    assert out[4].replace(" ", "") == alone[3] + alone[4]
+    assert out[5] == f"XY12 ABCD EFGH {alone[3]} {alone[0]}"
+    assert out[6] == " ".join(alone[:3])
+    assert out[7] == f"{alone[0].replace(' ', '')} {alone[5]}"
+    assert out[8][:12] != texts[8][:12] and out[8][13:] != texts[8][13:]
+    assert out[9] == f"{alone[0]} " * 300
+
+
 def test_permutation_is_one_to_one(spark):
     ips = [f"10.{i // 256}.{i % 256}.1" for i in range(1500)]
     assert len(set(run(spark, ips))) == len(ips)
