@@ -1,9 +1,11 @@
-"""The ten operators over their whole tables, and the SQL where SQL can say it."""
+"""The operators over their whole tables, and the SQL where SQL can say it."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.llm import bpe, chat, line_dedup, ngram_join, nn_descent, packing, pii, quality, sharding, toxicity
+from rolemill.llm import (
+    bpe, chat, license_scan, line_dedup, ngram_join, nn_descent, packing, pii, prefix_trie, quality,
+    sharding, token_align, toxicity)
 from rolemill.llm.tables import read
 
 
@@ -69,6 +71,20 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(read(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.col("n_places").alias("n_base"), "first_word", "last_word",
+        F.col("phrase_labels").alias("base_labels"), "labels", "score")
+
+
+def op12_token_align(spark: SparkSession, folder: str) -> DataFrame:
+    return token_align.align(read(spark, folder, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(read(spark, folder, "conversations")))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
@@ -80,5 +96,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
+    "op12_token_align": op12_token_align,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {"op3_line_dedup": line_dedup.SQL, "op8_chat": chat.SQL}
