@@ -24,6 +24,8 @@ every document costs one row a slice, and no table of pairs is collected or broa
 
 import hashlib
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ UNIT = 32_768
 BLOCK_BYTES = 1 << 19
 SLICE_BYTES = 16 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# Longer words are not remembered, nor more words than this.
+WORD, REMEMBERED = 64, 1 << 18
+# New words encoded as one text.
+TOGETHER = 256
 # Ends tried around the middle before an interval is looked through as a whole.
 TRIES = 3
 
@@ -107,8 +113,64 @@ def pieces(path: str) -> Side:
     return Side(lambda texts: made.encode(texts, num_threads=1), spelled)
 
 
-def sides(paths: tuple[str, str]) -> tuple[Side, Side]:
-    return worker_memory(f"align {paths}", lambda: (byte_level(paths[0]), pieces(paths[1])))
+class Words:
+    """Ids of both sides for words: stretches between single spaces, each taken with
+    the space before it. Short words are remembered, up to ``REMEMBERED`` of them."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.ids_a, self.ids_b, self.broken = {}, {}, set()
+
+    def learn(self, words: set) -> None:
+        """Every word of ``words`` is known afterwards; ``broken`` ones are not given back
+        byte for byte by one side."""
+        if len(self.ids_a) > REMEMBERED:
+            self.ids_a, self.ids_b, self.broken = {}, {}, set()
+        alone, many = [], []
+        for w in words:
+            if w not in self.ids_a:
+                inner = w and not w[0].isspace() and not w[-1].isspace()
+                (many if inner else alone).append(w)
+        for start in range(0, len(many), TOGETHER):
+            some = many[start:start + TOGETHER]
+            text = " ".join(some)
+            upto = np.cumsum([len(w.encode()) + 1 for w in some])
+            left = self._parts(self.a, self.a.encode([" " + text])[0], " " + text, upto)
+            right = self._parts(self.b, self.b.encode([text])[0], " " + text, upto)
+            if left is None or right is None:
+                alone += some
+            else:
+                self.ids_a.update(zip(some, left))
+                self.ids_b.update(zip(some, right))
+        for w, left, right in zip(alone, self.a.encode([" " + w for w in alone]), self.b.encode(alone)):
+            own = (" " + w).encode()
+            if (b"".join(map(self.a.spelled.__getitem__, left)) != own
+                    or b"".join(map(self.b.spelled.__getitem__, right)) != own):
+                self.broken.add(w)
+            self.ids_a[w], self.ids_b[w] = array("I", left).tobytes(), array("I", right).tobytes()
+
+    @staticmethod
+    def _parts(side: Side, ids: list, text: str, upto: np.ndarray) -> list[bytes] | None:
+        """The ids of each word of a text of words, or None if it is not given back."""
+        if b"".join(map(side.spelled.__getitem__, ids)) != text.encode():
+            return None
+        ids = np.array(ids, np.uint32)
+        ends = np.cumsum(side.length[ids])
+        at = np.searchsorted(ends, upto)
+        if (ends[at] != upto).any():
+            return None
+        raw, bounds = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+
+    def forget(self, words: set) -> None:
+        for w in words:
+            if len(w) > WORD:
+                del self.ids_a[w], self.ids_b[w]
+                self.broken.discard(w)
+
+
+def words_of(paths: tuple[str, str]) -> Words:
+    return worker_memory(f"align {paths}", lambda: Words(byte_level(paths[0]), pieces(paths[1])))
 
 
 def units(text: str) -> list[str]:
@@ -195,24 +257,24 @@ class Aligned:
                 self.counts[0].astype("<u4").tobytes())
 
 
-def align_block(texts: list[str], owners: list[Aligned], a: Side, b: Side) -> None:
+def align_block(texts: list[str], owners: list[Aligned], memory: Words) -> None:
     """Adds units (first unit of a text: as it is; each belongs to an ``Aligned``)."""
-    ids_a, ids_b = a.encode([" " + t for t in texts]), b.encode(texts)
-    good = []
-    for k, text in enumerate(texts):
-        own = (" " + text).encode()
-        if (b"".join(map(a.spelled.__getitem__, ids_a[k])) == own
-                and b"".join(map(b.spelled.__getitem__, ids_b[k])) == own):
-            good.append(k)
-        else:
-            owners[k].whole = False
-    good = [k for k in good if owners[k].whole]
+    a, b, split = memory.a, memory.b, [_CUT.split(t) for t in texts]
+    distinct = set(chain.from_iterable(split))
+    memory.learn(distinct)
+    if memory.broken and not memory.broken.isdisjoint(distinct):
+        for own, words in zip(owners, split):
+            own.whole &= memory.broken.isdisjoint(words)
+    good = [k for k in range(len(texts)) if owners[k].whole]
+    sizes, flat = [], []
+    for known in (memory.ids_a, memory.ids_b):
+        ids = [b"".join(map(known.__getitem__, split[k])) for k in good]
+        sizes.append(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64))
+        flat.append(np.frombuffer(b"".join(ids), np.uint32).astype(np.int64))
+    memory.forget(distinct)
     if not good:
         return
-    first_a = np.concatenate([[0], np.cumsum([len(ids_a[k]) for k in good])])
-    first_b = np.concatenate([[0], np.cumsum([len(ids_b[k]) for k in good])])
-    ids_a = np.concatenate([np.array(ids_a[k], np.int64) for k in good])
-    ids_b = np.concatenate([np.array(ids_b[k], np.int64) for k in good])
+    (first_a, first_b), (ids_a, ids_b) = sizes, flat
     ends_a, ends_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
     groups = divide(ends_a, ends_b, first_a, first_b)
     # Digest: A's tokens of a group, then B's.
@@ -248,7 +310,7 @@ def align_block(texts: list[str], owners: list[Aligned], a: Side, b: Side) -> No
         own.counts.append(count[code_at[n]:code_at[n + 1]])
 
 
-def aligned(texts, a: Side, b: Side):
+def aligned(texts, memory: Words):
     """One row per text; see ``Aligned.row``. Rows come in order, some texts late."""
     waiting, part, owners, size = [], [], [], 0
     for text in texts:
@@ -259,14 +321,14 @@ def aligned(texts, a: Side, b: Side):
             owners.append(own)
             size += len(unit) + 1
             if size >= BLOCK_BYTES:
-                align_block(part, owners, a, b)
+                align_block(part, owners, memory)
                 part, owners, size = [], [], 0
                 for ready in waiting[:-1]:
                     yield ready.row()
                 waiting = waiting[-1:]
                 waiting[0].compact()
     if part:
-        align_block(part, owners, a, b)
+        align_block(part, owners, memory)
     for ready in waiting:
         yield ready.row()
 
@@ -281,12 +343,12 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text",
     types = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]
 
     def run(batches):
-        a, b = sides(paths)
+        memory = words_of(paths)
         number, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
-            for k, row in enumerate(aligned((t.as_py() for t in batch.column(1)), a, b)):
+            for k, row in enumerate(aligned((t.as_py() for t in batch.column(1)), memory)):
                 rows.append((number, ids[k], *row))
                 size += len(batch.column(1)[k].as_py() or "") + 64
                 if size >= SLICE_BYTES:
