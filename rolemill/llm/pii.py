@@ -29,7 +29,9 @@ _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12}[0-9 -]*(?<=[0-9])"
 _OPEN = r"(?![0-9A-Za-z]|[-._%+@/:][0-9A-Za-z])"
 # In the order in which they are tried at a place.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    # The group's quantifier is possessive: Java repeats it in a loop, without recursion,
+    # so a chain of any number of labels does not exhaust the stack.
+    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
               r"|sk-[0-9A-Za-z]{20,48})(?![0-9A-Za-z])",
     # Stretches of any length; the first ends before what may begin another value.

@@ -82,6 +82,11 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _texts_with(texts: list[np.ndarray]) -> np.ndarray:
+    """How many texts hold each feature."""
+    return np.bincount(np.concatenate(texts).astype(np.int64), minlength=1 << BITS)
+
+
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
           steps: int = STEPS, pace: float = RATE, l2: float = L2) -> Model:
     """Non-negative risk minimised by Adam; the loss is the logistic loss."""
@@ -92,8 +97,8 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     texts = toxic + unlabelled
     row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     word = np.concatenate(texts).astype(np.int64)
-    in_toxic = np.bincount(np.concatenate(toxic), minlength=size)
-    rate_u = np.bincount(np.concatenate(unlabelled), minlength=size) / len(unlabelled)
+    in_toxic = _texts_with(toxic)
+    rate_u = _texts_with(unlabelled) / len(unlabelled)
     spread = np.sqrt((rate_u + 1 / len(unlabelled)) / len(toxic))
     telling = (in_toxic >= MIN_TEXTS) & (
         in_toxic / len(toxic) - rate_u > MIN_LIFT * spread)
@@ -131,12 +136,18 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(weights, -float(max(np.quantile(z, 1 - prior), least, 1e-6)))
 
 
-def _words_of(docs: DataFrame, text: str) -> list[np.ndarray]:
+def _words_of(docs: DataFrame, text: str, among: np.ndarray | None = None) -> list[np.ndarray]:
+    """Features of each text; with ``among`` (true or false per feature) those only."""
+    packed = None if among is None else np.packbits(among)
+
     def run(batches):
+        use = None if packed is None else np.unpackbits(packed).astype(bool)
         for batch in batches:
             out = []
             for _, words, begin in features(batch.column(0)):
-                out += [words[a:b].astype("<i4").tobytes() for a, b in zip(begin, begin[1:])]
+                for a, b in zip(begin, begin[1:]):
+                    own = words[a:b]
+                    out.append((own if use is None else own[use[own]]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
 
     return [np.frombuffer(r["w"], "<i4") for r in
@@ -156,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     total = docs.count()
     share = min(1.0, MAX_UNLABELLED / max(total, 1))
     picked = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
-    unlabelled = _words_of(docs.where(train_rows & picked), text)
+    # Features that too few toxic texts hold are never used and stay with the tasks.
+    among = _texts_with(toxic) >= MIN_TEXTS if toxic else np.zeros(1 << BITS, bool)
+    unlabelled = _words_of(docs.where(train_rows & picked), text, among)
     return train(toxic, unlabelled, n_toxic / max(n, 1))
 
 

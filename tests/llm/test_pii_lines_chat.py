@@ -90,6 +90,16 @@ def test_odd_texts(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_long_chains_of_every_kind_end(spark):
+    units = ["a.", "a@", "1 ", "1-", "AA11 ", "1.", "(12) ", "+1 ", "A", "é", "-", "0a", "_%"]
+    texts = ["x@" + unit * (8_000 // len(unit)) for unit in units]
+    out = run(spark, [f"mail ann@example.org {t}" for t in texts])
+    assert all(len(o) == len(t) + 21 and "ann@example.org" not in o for o, t in zip(out, texts))
+    docs = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)],
+                                 "doc_id int, source string, text string")
+    assert line_dedup.dedup_lines(docs).count() == len(texts)
+
+
 def expected_lines(rows, sites):
     where, first = defaultdict(set), {}
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
