@@ -41,7 +41,7 @@ BLOCK_BYTES = 1 << 19
 SLICE_BYTES = 16 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # Longer words are not remembered, nor more words than this.
-WORD, REMEMBERED = 64, 1 << 18
+WORD, REMEMBERED = 64, 1 << 19
 # New words encoded as one text.
 TOGETHER = 256
 # Ends tried around the middle before an interval is looked through as a whole.
