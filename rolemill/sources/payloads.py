@@ -1,13 +1,19 @@
 """Landed provider payloads to raw postings.
 
-``read`` scans a folder of JSON files; the function named after a provider maps
-its payload rows to ``RAW_POSTING``. Schemas are given, so a scan reads only the
-fields it maps and never infers. Board payloads are one file per board; the
-file's name is the board token.
+``land`` scans a folder of JSON files, compressed or not, with a payload a line or a
+payload a file, and keeps what it cannot read; the function named after a provider maps
+its payload rows to ``RAW_POSTING``. Schemas are given, so a scan parses only the
+fields it maps and never infers. Board payloads are one file per board; the file's name
+is the board token.
 """
 
+import re
+from dataclasses import dataclass
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolemill import vocab
 from rolemill.functions.dates import parse_date, parse_epoch
@@ -267,21 +273,106 @@ PARSERS = {"remotive": remotive, "adzuna": adzuna, "usajobs": usajobs,
 BOARDS = ["greenhouse", "lever", "ashby", "workable"]
 
 
+LINES = r"\.(jsonl|ndjson)$"
+_PACKED = r"\.(gz|bz2|zst|deflate|snappy|lz4)$"
+_SUFFIX = r"(\.(json|jsonl|ndjson|txt))?$"
+
+
+@dataclass
+class Landed:
+    """One provider's landed files: every payload is parsed or quarantined.
+
+    ``payloads`` has a row per payload (file, token, body, and the parsed ``rows``, NULL
+    if the text is no payload of this provider)."""
+
+    source: str
+    payloads: DataFrame
+    names: DataFrame | None = None
+
+    def postings(self) -> DataFrame:
+        """Raw postings of the payloads that could be read."""
+        rows = self.payloads.where("rows is not null").select(
+            "token", F.explode("rows").alias("p")).select("token", "p.*")
+        if self.source not in BOARDS:
+            return PARSERS[self.source](rows.drop("token"))
+        return PARSERS[self.source](rows, self.names)
+
+    def quarantine(self) -> DataFrame:
+        """(source_key, file, body) of what could not be read, as it was landed."""
+        return self.payloads.where("rows is null").select(
+            F.lit(self.source).alias("source_key"), "file", "body")
+
+    def counts(self) -> DataFrame:
+        """Per file: payloads = parsed + quarantined."""
+        return self.payloads.groupBy("file").agg(
+            F.count(F.lit(1)).alias("payloads"),
+            F.count_if(F.col("rows").isNotNull()).alias("parsed"),
+            F.count_if(F.col("rows").isNull()).alias("quarantined"))
+
+
+def _kinds(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files with a payload a line, and files that are one payload each.
+
+    The name tells (``.jsonl``, ``.ndjson``, also compressed); of other names the first
+    line that is not blank does: a whole JSON value means lines."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    named = F.regexp_replace(F.lower("_metadata.file_name"), _PACKED, "").rlike(LINES)
+    files = sorted(unquote(f) for f in text.inputFiles())
+    lines = [f for f in files if re.search(LINES, re.sub(_PACKED, "", f.lower()))]
+    if len(lines) == len(files):
+        return files, []
+    head = (text.select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"),
+                        F.struct(F.col("_metadata.file_block_start"),
+                                 F.monotonically_increasing_id()).alias("at"), named.alias("named"))
+            .where("not named and line <> ''")
+            .groupBy("file").agg(F.min_by("line", "at").alias("line"))
+            .where(F.try_parse_json("line").isNotNull() & F.col("line").rlike(r"^[\[{]")))
+    plain = lambda f: re.sub(r"^file:/+", "/", f)
+    # One name a file, as in any listing.
+    found = {plain(unquote(r["file"])) for r in head.select("file").collect()}
+    lines += [f for f in files if f not in set(lines) and plain(f) in found]
+    return lines, [f for f in files if f not in set(lines)]
+
+
+def land(spark: SparkSession, source: str, path: str,
+         names: DataFrame | None = None) -> Landed:
+    """One provider's landed files, however they are laid out: a payload a line or a
+    payload a file, compressed or not. Files of lines are read in splits."""
+    lines, whole = _kinds(spark, path)
+    parts = [spark.read.text(lines)] if lines else []
+    parts += [spark.read.text(whole, wholetext=True)] if whole else []
+    body = F.trim(F.regexp_replace("value", "^[\\x20\\x09-\\x0D\ufeff]+|[\\x20\\x09-\\x0D]+$", ""))
+    base = F.regexp_replace("_metadata.file_name", f"(?i){_PACKED}", "")
+    token = F.regexp_replace(base, f"(?i){_SUFFIX}", "")
+    # A bare array holds payload rows itself; wrapped, both kinds parse in one pass, and
+    # whatever follows the value makes the whole unreadable.
+    wrapped = F.when(F.startswith("body", F.lit("[")), F.concat(F.lit('{"rows":'), "body", F.lit("}"))).otherwise(
+        F.concat(F.lit('{"rows":['), "body", F.lit("]}")))
+    kind = f"rows array<struct<{_as_struct(SCHEMAS[source])}>>, _corrupt string"
+    parsed = F.from_json(wrapped, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = F.when(F.try_parse_json("body").isNotNull() & F.col("body").rlike(r"^[\[{]"), F.col("p.rows"))
+    out = None
+    for part in parts:
+        made = part.select(F.col("_metadata.file_path").alias("file"), token.alias("token"),
+                           body.alias("body")).where("body <> ''").withColumn("p", parsed).select(
+            "file", "token", "body", rows.alias("rows"))
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        out = spark.createDataFrame([], "file string, token string, body string").withColumn(
+            "p", parsed).select("file", "token", "body", F.col("p.rows").alias("rows"))
+    return Landed(source, out, names)
+
+
+def _as_struct(ddl: str) -> str:
+    """The fields of a table schema in the notation of a struct's."""
+    return StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
+
+
 def read(spark: SparkSession, source: str, path: str,
          names: DataFrame | None = None) -> DataFrame:
-    """Raw postings of one provider's landed files: ``.jsonl`` files hold one payload
-    a line and are read in splits, other files are one payload each."""
-    reader = spark.read.schema(SCHEMAS[source]).option("recursiveFileLookup", True)
-    lines = reader.option("pathGlobFilter", "*.jsonl").json(path)
-    whole = reader.option("pathGlobFilter", "*[!l]").option("multiLine", True).json(path)
-    parts = [p for p in (lines, whole) if p.inputFiles()]
-    rows = parts[0] if len(parts) == 1 else lines.unionByName(whole)
-    if source not in BOARDS:
-        return PARSERS[source](rows)
-    token = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.jsonl?)?$", 1)
-    parts = [p.select(token.alias("token"), "*") for p in parts or [whole]]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return PARSERS[source](rows, names)
+    """Raw postings of one provider's landed files; see ``land`` for what is not
+    readable among them."""
+    return land(spark, source, path, names).postings()
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:

@@ -526,3 +526,43 @@ def test_landed_lines_and_files_are_all_read(spark, folder):
         f.write(json.dumps(json.loads(payload(9)), indent=2))
     assert payloads.read(spark, "remotive", folder).count() == 6
     assert payloads.read(spark, "remotive", os.path.join(folder, "many.jsonl")).count() == 5
+
+
+def test_compressed_files_and_broken_lines_are_accounted_for(spark, folder):
+    import gzip
+    import json
+    import os
+
+    from rolemill.sources import payloads
+
+    def payload(i, **more):
+        return json.dumps({"jobs": [{"id": i, "title": f"Baker {i}", "company_name": "Loaf House"} | more]})
+
+    def put(name, text, opened=open):
+        with opened(os.path.join(folder, name), "wt") as f:
+            f.write(text)
+
+    lines = "\n".join(payload(i) for i in range(5))
+    put("a.jsonl.gz", lines, gzip.open)
+    put("b.ndjson", lines + "\n\n" + payload(8)[:-3] + "\n" + payload(7) + " trailing\nnull\n")
+    put("c d.json", lines)                                          # lines without saying so
+    put("e.json", json.dumps(json.loads(payload(9)), indent=2))     # one payload, many lines
+    put("f.json.gz", json.dumps(json.loads(payload(9)), indent=2), gzip.open)
+    put("g.json", json.dumps(json.loads(payload(9)), indent=2)[:-4])
+    put("h.json", "")
+    put("i.json", payload(3, salary=12, extra={"x": 1}))
+    landed = payloads.land(spark, "remotive", folder)
+    counts = {r.file.split("/")[-1].replace("%20", " "): (r.payloads, r.parsed, r.quarantined)
+              for r in landed.counts().collect()}
+    assert counts == {"a.jsonl.gz": (5, 5, 0), "b.ndjson": (8, 5, 3), "c d.json": (5, 5, 0),
+                      "e.json": (1, 1, 0), "f.json.gz": (1, 1, 0), "g.json": (1, 0, 1), "i.json": (1, 1, 0)}
+    assert landed.postings().count() == 18 == payloads.read(spark, "remotive", folder).count()
+    broken = {r.body for r in landed.quarantine().collect()}
+    assert payload(8)[:-3] in broken and payload(7) + " trailing" in broken and "null" in broken
+    os.mkdir(os.path.join(folder, "lever"))
+    board = [{"id": str(i), "text": "Baker", "hostedUrl": f"u{i}"} for i in range(3)]
+    put("lever/loaf.json", json.dumps(board, indent=1))
+    put("lever/crumb.jsonl.gz", json.dumps(board) + "\n" + json.dumps(board[0]), gzip.open)
+    rows = payloads.read(spark, "lever", os.path.join(folder, "lever")).collect()
+    assert sorted(r.source_job_id for r in rows) == sorted(
+        [f"loaf:{i}" for i in range(3)] + [f"crumb:{i}" for i in (0, 1, 2, 0)])
