@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from rolemill import vocab
 from rolemill.functions.binding import let
+from rolemill.functions.text import opening
 
 
-def experience_years(text: Column) -> Column:
+def experience_years(text: Column, window: int | None = None) -> Column:
     """Struct (years_experience_min, years_experience_max).
 
     A credible range wins; else the smallest single figure; else a number word.
@@ -42,7 +43,7 @@ def experience_years(text: Column) -> Column:
                 F.when(ranged, b["high"]).alias("years_experience_max"))
         return let(bounds(F.regexp_extract(window, vocab.YEARS_RANGE, 0)), result)
 
-    return let(F.substring(text, 1, 8000), pick)
+    return let(opening(text, window), pick)
 
 
 def benefits(text: Column) -> Column:
@@ -79,13 +80,15 @@ def recruitment_agency(text: Column) -> Column:
     return F.coalesce(text.rlike(vocab.AGENCY), F.lit(False))
 
 
-def _distinct_matches(text: Column, pattern: str, keep: int) -> Column:
+def _distinct_matches(text: Column, pattern: str, keep: int | None) -> Column:
     hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-    return F.slice(F.array_sort(F.array_distinct(hits)), 1, keep)
+    found = F.array_sort(F.array_distinct(hits))
+    return found if keep is None else F.slice(found, 1, keep)
 
 
-def contacts(text: Column, keep: int = 5) -> Column:
-    """Struct of distinct, sorted e-mail addresses and phone numbers."""
+def contacts(text: Column, keep: int | None = None) -> Column:
+    """Struct of distinct, sorted e-mail addresses and phone numbers, all of them or
+    the first ``keep``."""
     return F.struct(_distinct_matches(text, vocab.EMAIL, keep).alias("emails"),
                     _distinct_matches(text, vocab.PHONE, keep).alias("phones"))
 

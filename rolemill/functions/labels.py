@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolemill import vocab
-from rolemill.functions.text import blob, first_label
+from rolemill.functions.text import blob, first_label, opening
 
 
 def work_arrangement(*texts: Column) -> Column:
@@ -28,18 +28,18 @@ def employment_type(*texts: Column) -> Column:
     return first_label(blob(*texts), vocab.EMPLOYMENT_PATTERNS)
 
 
-def experience_level(title: Column, description: Column, years_min: Column) -> Column:
-    """Title wording, then required years, then the description's opening."""
+def experience_level(title: Column, description: Column, years_min: Column,
+                     window: int | None = None) -> Column:
+    """Title wording, then required years, then the description or its opening."""
     by_years = (F.when(years_min >= 8, "senior")
                 .when(years_min >= 3, "mid")
                 .when(years_min >= 0, "entry"))
     return F.coalesce(
         first_label(F.lower(title), vocab.LEVEL_PATTERNS),
         by_years,
-        first_label(F.lower(F.substring(description, 1, 1500)),
+        first_label(F.lower(opening(description, window)),
                     vocab.LEVEL_PATTERNS))
 
 
-def education_level(text: Column) -> Column:
-    return first_label(F.lower(F.substring(text, 1, 8000)),
-                       vocab.EDUCATION_PATTERNS)
+def education_level(text: Column, window: int | None = None) -> Column:
+    return first_label(F.lower(opening(text, window)), vocab.EDUCATION_PATTERNS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolemill import vocab
 from rolemill.functions.binding import let
-from rolemill.functions.text import first_label
+from rolemill.functions.text import first_label, opening
 
 _PAY = "struct<salary_min:double,salary_max:double,salary_period:string>"
 
@@ -21,9 +21,9 @@ def guess_period(value: Column, text: Column) -> Column:
         first_label(low, vocab.PERIOD_HINTS), by_size.otherwise("yearly")))
 
 
-def salary_match(text: Column) -> Column:
+def salary_match(text: Column, window: int | None = None) -> Column:
     """The first dollar amount or range as written; empty when there is none."""
-    return F.regexp_extract(F.substring(text, 1, 6000), vocab.SALARY_AMOUNT, 0)
+    return F.regexp_extract(opening(text, window), vocab.SALARY_AMOUNT, 0)
 
 
 def _amount(match: Column, group: int) -> Column:
@@ -40,12 +40,11 @@ def parse_salary(text: Column, match: Column | None = None) -> Column:
     column; the groups are read from that short string.
     """
     def found(m):
-        window = F.substring(text, 1, 6000)
-        start = F.position(m, window)
+        start = F.position(m, text)
         left = F.greatest(F.lit(1), start - 60)
         return F.struct(
             _amount(m, 1).alias("low"), _amount(m, 3).alias("high"),
-            F.substring(window, left, start + F.char_length(m) + 60 - left)
+            F.substring(text, left, start + F.char_length(m) + 60 - left)
             .alias("nearby"))
 
     def pay(v):

@@ -17,11 +17,10 @@ STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"),
          ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment",
          "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
-LONGEST = 64
 
 
 def stem(word: str) -> str:
-    if not 3 <= len(word) <= LONGEST or not word.isascii() or not word.isalpha():
+    if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word
 
     def shape(w):

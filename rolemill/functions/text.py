@@ -131,3 +131,8 @@ def first_label(text: Column, patterns: list[tuple[str, str]]) -> Column:
 def contains_text(c: Column, needle: str) -> Column:
     """Case-insensitive literal containment (wildcards have no meaning)."""
     return F.contains(F.lower(c), F.lower(F.lit(needle)))
+
+
+def opening(value: Column, window: int | None) -> Column:
+    """The first ``window`` characters, or the whole text without one."""
+    return value if window is None else F.substring(value, 1, window)

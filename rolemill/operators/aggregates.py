@@ -36,17 +36,21 @@ def count_values(scope: DataFrame, dims: dict, by: tuple = ()) -> DataFrame:
 
 
 def top_per(counts: DataFrame, keys: list, limits: dict | int) -> DataFrame:
-    """Highest counts per key, ties by value.
+    """Highest counts per key, ties by value; a limit of None keeps all of a dimension.
 
     The rank filter is applied before the shuffle as well as after it, so a
     dimension with many values never meets in one task unreduced.
     """
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("value"))
-    most = limits if isinstance(limits, int) else max(limits.values())
-    ranked = counts.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= most)
+    ranked = counts.withColumn("rank", F.row_number().over(order))
     if isinstance(limits, int):
-        return ranked
+        return ranked.where(F.col("rank") <= limits)
+    whole = [dim for dim, n in limits.items() if n is None]
+    if whole:
+        rest = {dim: n for dim, n in limits.items() if n is not None}
+        named = F.col("dim").isin(whole)
+        return top_per(counts.where(~named), keys, rest).unionByName(ranked.where(named))
+    ranked = ranked.where(F.col("rank") <= max(limits.values()))
     allowed = F.when(F.lit(False), 0)
     for dim, n in limits.items():
         allowed = allowed.when(F.col("dim") == dim, n)
@@ -75,7 +79,7 @@ def breakdowns(scope: DataFrame) -> DataFrame:
     folded = scope.withColumn("work_arrangement",
                               F.coalesce("work_arrangement", F.lit("unknown")))
     counts = count_values(folded, {**BREAKDOWNS, "work_arrangement": 0})
-    return top_per(counts, ["dim"], {**BREAKDOWNS, "work_arrangement": 1000})
+    return top_per(counts, ["dim"], {**BREAKDOWNS, "work_arrangement": None})
 
 
 def salary_bands(scope: DataFrame) -> DataFrame:

@@ -7,33 +7,38 @@ from rolemill.functions import dates, extract, fingerprint, labels, pay, place,
 from rolemill.operators.skills import SkillMatcher, with_skills
 
 
-def enrich(raw: DataFrame, matcher: SkillMatcher | None = None) -> DataFrame:
+def enrich(raw: DataFrame, matcher: SkillMatcher | None = None,
+           windows: dict[str, int] | None = None, keep_contacts: int | None = None) -> DataFrame:
     """Everything one posting says about itself, as flat job columns.
 
+    Whole texts are read. ``windows`` limits single fields to a text's first characters
+    (keys: pay, years, arrangement, employment, level, education), ``keep_contacts`` the
+    contacts to the first ones.
+
     Row-local from end to end, so it needs no shuffle; columns nobody selects
     are pruned together with the expressions behind them. Extra columns of
     ``raw`` (keys, arrival order) pass through. A filter on a derived column
     repeats that column's text work, so searches, facets and scores belong on
     stored jobs (``operators.store``), where it is a pushed-down predicate.
     """
-    c = F.col
+    c, upto = F.col, (windows or {}).get
     df = text.with_text(raw, "description_html", "_html_text")
     df = df.withColumn("description_text", F.coalesce(
         F.nullif("description_text", F.lit("")), "_html_text")).drop("_html_text")
-    df = df.withColumn("_amount", pay.salary_match(c("description_text")))
+    df = df.withColumn("_amount", pay.salary_match(c("description_text"), upto("pay")))
     df = df.withColumn("_text_pay", pay.parse_salary(
         c("description_text"), c("_amount")))
     df = df.withColumns({
         "_place": place.merge_location(c("city"), c("state"), c("country"),
                                        c("postal_code"), c("location_raw")),
-        "_years": extract.experience_years(c("description_text")),
+        "_years": extract.experience_years(c("description_text"), upto("years")),
         "_pay": pay.resolve_salary(c("salary_min"), c("salary_max"),
                                    c("salary_period"), c("salary_currency"),
                                    c("salary_is_estimated"), c("_text_pay")),
         "_flags": extract.flag_text(c("title"), c("description_text")),
         "_detected": labels.work_arrangement(
-            c("title"), c("location_raw"), F.substring("description_text", 1, 4000)),
-        "_contacts": extract.contacts(c("description_text")),
+            c("title"), c("location_raw"), text.opening(c("description_text"), upto("arrangement"))),
+        "_contacts": extract.contacts(c("description_text"), keep_contacts),
     })
     df = df.withColumns({
         "title_normalized": text.normalize_title(c("title")),
@@ -43,10 +48,12 @@ def enrich(raw: DataFrame, matcher: SkillMatcher | None = None) -> DataFrame:
         "country": c("_place.country"), "postal_code": c("_place.postal_code"),
         "work_arrangement": labels.resolve_arrangement(c("_detected"), c("is_remote")),
         "employment_type": labels.employment_type(
-            c("employment_type"), c("title"), F.substring("description_text", 1, 2000)),
+            c("employment_type"), c("title"),
+            text.opening(c("description_text"), upto("employment"))),
         "experience_level": labels.experience_level(
-            c("title"), c("description_text"), c("_years.years_experience_min")),
-        "education_level": labels.education_level(c("description_text")),
+            c("title"), c("description_text"), c("_years.years_experience_min"),
+            upto("level")),
+        "education_level": labels.education_level(c("description_text"), upto("education")),
         "years_experience_min": c("_years.years_experience_min"),
         "years_experience_max": c("_years.years_experience_max"),
         "salary_min": c("_pay.salary_min"), "salary_max": c("_pay.salary_max"),

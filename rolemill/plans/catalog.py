@@ -1,6 +1,7 @@
 """Every registered query, with its DuckDB statement where SQL can say it."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from rolemill.operators import (aggregates, companies as co, customfields, dupli
                                 export, ranking, research as re_, scoring, search, skills,
                                 textindex, upserts)
 from rolemill.plans import corpus
-from rolemill.plans.oracle import (ALIAS_PATTERN, BREAKDOWN_SQL, FACET_SQL, annual, board,
+from rolemill.plans.oracle import (RAW as RAW_SQL, ALIAS_PATTERN, BREAKDOWN_SQL, FACET_SQL, annual, board,
                                    company_key, group, has, html_to_text, q, simhash,
                                    sql_list, strip, sub, title_norm, with_ctes)
 from rolemill.sources import payloads, reference
@@ -45,21 +46,36 @@ _SCAN = ["source_key", "source_job_id", "title", "company_name", "location_raw",
          "description_is_truncated", "posted", "job_url", "apply_url"]
 
 
-def _landed(spark, sf, source: str, payload: dict) -> DataFrame:
-    """Payload rows of one provider, built as JSON text from the corpus and read
-    back with the provider's schema, one item per payload."""
+def _fresh(spark, name: str) -> str:
+    """A folder of its own under the shared one."""
+    duplicates.use_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _landing(spark, sf, source: str, payload: dict, **more) -> payloads.Landed:
+    """Payloads of one provider made from the corpus, one item each, landed as compressed
+    lines with a broken one among them, and read back from there."""
+    path = _fresh(spark, f"landed-{source}")
     raw = corpus.postings(spark, sf)
     item = F.struct(*[v.alias(k) for k, v in payload.items()])
+    others = [v.alias(k) for k, v in more.items()]
     if source == "lever":
         body = item
     elif source == "usajobs":
         body = F.struct(F.struct(F.array(item).alias("SearchResultItems")).alias("SearchResult"))
     else:
-        body = F.struct(F.array(item).alias(
-            "results" if source == "adzuna" else "jobs"))
-    parsed = F.from_json(F.to_json(body), payloads.SCHEMAS[source])
+        body = F.struct(*others, F.array(item).alias("results" if source == "adzuna" else "jobs"))
     token = F.concat(F.lit("co"), F.regexp_extract("company_name", r"(\d+)", 1))
-    return raw.select(token.alias("token"), parsed.alias("p")).select("token", "p.*")
+    board = source in payloads.BOARDS
+    line = F.to_json(F.struct(token.alias("token"), body.alias("payload")) if board else body)
+    broken = spark.range(1).select(F.lit('{"jobs": [{"id": "cut').alias("line"))
+    raw.select(line.alias("line")).unionByName(broken).write.option(
+        "compression", "gzip").text(path)
+    return payloads.land(spark, source, path, envelope=board)
+
+
+def _landed(spark, sf, source: str, payload: dict, **more) -> DataFrame:
+    return _landing(spark, sf, source, payload, **more).postings()
 
 
 def _scanned(df: DataFrame) -> DataFrame:
@@ -95,11 +111,11 @@ def _iso():
 @query("src_01_remotive", _scan_sql("remotive", is_remote="TRUE",
                                     employment_type="employment_type"))
 def src_remotive(spark, sf):
-    return _scanned(payloads.remotive(_landed(spark, sf, "remotive", {
+    return _scanned(_landed(spark, sf, "remotive", {
         "id": c("job_id"), "title": c("title"), "company_name": c("company_name"),
         "description": c("description_html"), "job_type": c("employment_type"),
         "candidate_required_location": F.concat(F.lit("  "), "location_raw", F.lit(" ")),
-        "publication_date": _iso(), "url": c("job_url")})))
+        "publication_date": _iso(), "url": c("job_url")}))
 
 
 @query("src_02_adzuna", _scan_sql(
@@ -111,7 +127,7 @@ def src_remotive(spark, sf):
          "ELSE 'Hyde Park' END END"))
 def src_adzuna(spark, sf):
     areas = F.array(*map(F.lit, ("US", "Texas", "Austin", "Hyde Park")))
-    return _scanned(payloads.adzuna(_landed(spark, sf, "adzuna", {
+    return _scanned(_landed(spark, sf, "adzuna", {
         "id": c("job_id"), "title": c("title"), "description": c("description_html"),
         "company": F.struct(c("company_name").alias("display_name")),
         "location": F.struct(c("location_raw").alias("display_name"),
@@ -120,7 +136,7 @@ def src_adzuna(spark, sf):
         "salary_min": c("salary_min"), "salary_max": c("salary_max"),
         "salary_is_predicted": (c("job_id") % 2).cast("string"),
         "contract_time": c("employment_type"), "created": _iso(),
-        "redirect_url": c("job_url")})))
+        "redirect_url": c("job_url")}))
 
 
 @query("src_03_usajobs", _scan_sql(
@@ -139,7 +155,7 @@ def src_usajobs(spark, sf):
     spot = F.when(n % 5 > 0, F.array(F.struct(
         c("location_raw").alias("LocationName"), F.lit("Reno").alias("CityName"),
         F.lit("NV").alias("CountrySubDivisionCode"))))
-    return _scanned(payloads.usajobs(_landed(spark, sf, "usajobs", {
+    return _scanned(_landed(spark, sf, "usajobs", {
         "MatchedObjectId": F.lit("ignored"), "MatchedObjectDescriptor": F.struct(
             n.cast("string").alias("PositionID"), c("title").alias("PositionTitle"),
             c("company_name").alias("OrganizationName"), c("job_url").alias("PositionURI"),
@@ -157,41 +173,41 @@ def src_usajobs(spark, sf):
                 F.array(F.lit("One"), c("company_name")).alias("MajorDuties"),
                 F.lit("").alias("Requirements"), c("location_raw").alias("Qualifications"),
                 F.when(n % 3 == 0, "True").otherwise("false").alias("TeleworkEligible"))
-                .alias("Details")).alias("UserArea"))})))
+                .alias("Details")).alias("UserArea"))}))
 
 
 @query("src_04_greenhouse", _scan_sql("greenhouse", token=True))
 def src_greenhouse(spark, sf):
-    return _scanned(payloads.greenhouse(_landed(spark, sf, "greenhouse", {
+    return _scanned(_landed(spark, sf, "greenhouse", {
         "id": c("job_id"), "title": c("title"), "content": c("description_html"),
         "location": F.struct(c("location_raw").alias("name")),
         "updated_at": F.when(c("job_id") % 2 == 0, _iso()), "first_published": _iso(),
-        "absolute_url": c("job_url")})))
+        "absolute_url": c("job_url")}))
 
 
 @query("src_05_lever", _scan_sql(
     "lever", token=True, employment_type="employment_type",
     apply_url="coalesce(apply_url, job_url)"))
 def src_lever(spark, sf):
-    return _scanned(payloads.lever(_landed(spark, sf, "lever", {
+    return _scanned(_landed(spark, sf, "lever", {
         "id": c("job_id"), "text": c("title"),
         "description": F.when(c("job_id") % 2 == 0, c("description_html")),
         "descriptionPlain": c("description_html"),
         "categories": F.struct(c("location_raw").alias("location"),
                                c("employment_type").alias("commitment")),
         "createdAt": F.unix_millis("date_posted"), "hostedUrl": c("job_url"),
-        "applyUrl": c("apply_url")})))
+        "applyUrl": c("apply_url")}))
 
 
 @query("src_06_ashby", _scan_sql(
     "ashby", token=True, employment_type="employment_type", is_remote="is_remote",
     description_text="description_text", apply_url="coalesce(apply_url, job_url)"))
 def src_ashby(spark, sf):
-    return _scanned(payloads.ashby(_landed(spark, sf, "ashby", {
+    return _scanned(_landed(spark, sf, "ashby", {
         "id": c("job_id"), "title": c("title"), "descriptionHtml": c("description_html"),
         "descriptionPlain": c("description_text"), "location": c("location_raw"),
         "employmentType": c("employment_type"), "isRemote": c("is_remote"),
-        "updatedAt": _iso(), "jobUrl": c("job_url"), "applyUrl": c("apply_url")})))
+        "updatedAt": _iso(), "jobUrl": c("job_url"), "applyUrl": c("apply_url")}))
 
 
 @query("src_07_workable", _scan_sql(
@@ -205,7 +221,7 @@ def src_ashby(spark, sf):
     is_remote="coalesce(is_remote, FALSE)", job_url="job_url",
     apply_url="coalesce(apply_url, job_url)"))
 def src_workable(spark, sf):
-    rows = _landed(spark, sf, "workable", {
+    return _scanned(_landed(spark, sf, "workable", {
         "id": c("job_id"),
         "shortcode": F.when(c("job_id") % 2 == 0, F.concat(F.lit("S"), "job_id")),
         "title": c("title"), "description": c("description_html"), "city": c("city"),
@@ -213,12 +229,17 @@ def src_workable(spark, sf):
             c("country")),
         "employment_type": c("employment_type"), "telecommuting": c("is_remote"),
         "created_at": _iso(), "url": c("job_url"), "application_url": c("apply_url"),
-        "department": c("company_name")})
-    # The employer's name travels in the department field to give payload names.
-    item = c("jobs")[0]
-    named = rows.withColumn("name", F.when(
-        item["id"].cast("long") % 3 != 0, item["department"]))
-    return _scanned(payloads.workable(named))
+        "department": F.lit("desk")},
+        name=F.when(c("job_id") % 3 != 0, c("company_name"))))
+
+
+@query("src_12_reconciled_landing", """SELECT 'remotive' AS source_key, count(*) + 1 AS payloads,
+    count(*) AS parsed, 1 AS quarantined FROM raw""")
+def src_reconciled(spark, sf):
+    landed = _landing(spark, sf, "remotive", {"id": c("job_id"), "title": c("title")})
+    return landed.counts().agg(
+        F.lit("remotive").alias("source_key"), F.sum("payloads").alias("payloads"),
+        F.sum("parsed").alias("parsed"), F.sum("quarantined").alias("quarantined"))
 
 
 @query("src_08_value_cleaning", f"SELECT p_partkey, nullif({strip('v')}, '') AS v FROM ("
@@ -246,7 +267,9 @@ def src_seed(spark, sf):
         .otherwise("").alias("domain"), c("c_mktsegment").alias("industry"),
         F.lit("lever ").alias("ats_platform"),
         F.concat(F.lit("c"), "c_custkey").alias("ats_board_token"))
-    return reference.clean_seed_companies(raw)
+    path = _fresh(spark, "seeds")
+    raw.write.option("header", True).csv(path)
+    return reference.read_seed_companies(spark, path)
 
 
 def _part_taxonomy(spark, sf) -> DataFrame:
@@ -269,7 +292,9 @@ _ALIASES = r"""SELECT alias, skill, category FROM (SELECT *, row_number() OVER (
 @query("src_10_taxonomy", "SELECT p_brand AS category, count(*) AS skills, "
        "3 * count(*) AS aliases FROM part GROUP BY 1")
 def src_taxonomy(spark, sf):
-    return _part_taxonomy(spark, sf).groupBy("category").agg(
+    path = _fresh(spark, "taxonomy")
+    _part_taxonomy(spark, sf).select("category", "name", "aliases").write.json(path)
+    return reference.read_taxonomy(spark, path).groupBy("category").agg(
         F.count_distinct("skill_id").alias("skills"),
         F.sum(F.size("aliases")).alias("aliases"))
 
@@ -329,7 +354,7 @@ def nrm_arrangement(spark, sf):
     raw = text.with_text(corpus.postings(spark, sf), "description_html", "body")
     body = F.coalesce("description_text", "body")
     return raw.select("job_id", labels.work_arrangement(
-        c("title"), c("location_raw"), F.substring(body, 1, 4000)).alias("detected"))
+        c("title"), c("location_raw"), body).alias("detected"))
 
 
 _job_query("nrm_07_arrangement_precedence", ["work_arrangement"])
@@ -448,9 +473,9 @@ def ext_benefits(spark, sf):
 
 
 @query("ext_11_contacts", f"""SELECT doc_id,
-    array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(vocab.EMAIL)})))[1:5], '; ')
+    array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(vocab.EMAIL)}))), '; ')
     AS emails,
-    array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(vocab.PHONE)})))[1:5], '; ')
+    array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(vocab.PHONE)}))), '; ')
     AS phones FROM documents""")
 def ext_contacts(spark, sf):
     docs = corpus.spread(corpus.table(spark, sf, "documents").select("doc_id", "text"))
@@ -835,16 +860,16 @@ _LEAVES = [
      "coalesce(salary_annualized_max < 90000, FALSE)"),
     ("lte", {"field": "posting_age_days", "op": "lte", "value": 365},
      "coalesce(posting_age_days <= 365, FALSE)"),
-    ("contains", {"field": "title", "op": "contains", "value": "MEDICAL"},
-     "contains(lower(title), 'medical')"),
+    ("contains", {"field": "title", "op": "contains", "value": "HARBOUR"},
+     "contains(lower(title), 'harbour')"),
     ("contains_list", {"field": "skills", "op": "contains", "value": "sql"},
      "list_bool_or(list_transform(skill_names, lambda s: contains(s, 'sql')))"),
     ("not_contains", {"field": "city", "op": "not_contains", "value": "dal"},
      "NOT coalesce(contains(lower(city), 'dal'), FALSE)"),
-    ("is_in", {"field": "state", "op": "in", "value": ["TX", "IL"]},
-     "coalesce(state IN ('TX', 'IL'), FALSE)"),
-    ("not_in", {"field": "state", "op": "not_in", "value": ["TX", None]},
-     "NOT coalesce(state = 'TX', TRUE)"),
+    ("is_in", {"field": "state", "op": "in", "value": ["OK", "IL"]},
+     "coalesce(state IN ('OK', 'IL'), FALSE)"),
+    ("not_in", {"field": "state", "op": "not_in", "value": ["OK", None]},
+     "NOT coalesce(state = 'OK', TRUE)"),
     ("is_true", {"field": "urgently_hiring", "op": "is_true"},
      "coalesce(urgently_hiring, FALSE)"),
     ("is_false", {"field": "visa_sponsorship_mentioned", "op": "is_false"},
@@ -944,8 +969,8 @@ query("flt_01b_everything", "SELECT job_id, title FROM jobs")(
 _filter("flt_03_company", {"company": "#0000000"},
         "contains(lower(company_name_raw), '#0000000') OR company_key IN "
         "(SELECT company_key FROM companies WHERE contains(lower(name), '#0000000'))")
-_filter("flt_04_place", {"city": "allas", "state": "tx", "country": "us"},
-        "contains(lower(city), 'allas') AND upper(state) = 'TX' AND upper(country) = 'US'")
+_filter("flt_04_place", {"city": "ulsa", "state": "ok", "country": "us"},
+        "contains(lower(city), 'ulsa') AND upper(state) = 'OK' AND upper(country) = 'US'")
 _filter("flt_04b_postal_code", {"postal_code": " 60601 "}, "postal_code = '60601'")
 _filter("flt_05_date_preset", {"date_posted": "30"}, f"date_posted >= {_ago(30)}")
 _filter("flt_05b_date_range", {"date_from": "1998-01-01", "date_to": "1998-06-30T00:00:00Z"},
@@ -960,8 +985,8 @@ _filter("flt_07_salary_floor", {"salary_min": 100000},
 _filter("flt_08_salary_other", {"salary_max": 90000, "has_salary": True,
                                 "employer_stated_salary": True},
         "salary_annualized_min <= 90000 AND NOT salary_is_estimated")
-_filter("flt_09_title", {"title_contains": "medical", "title_not_contains": "JUNIOR"},
-        "contains(lower(title), 'medical') AND NOT contains(lower(title), 'junior')")
+_filter("flt_09_title", {"title_contains": "harbour", "title_not_contains": "JUNIOR"},
+        "contains(lower(title), 'harbour') AND NOT contains(lower(title), 'junior')")
 _filter("flt_10_description", {"description_contains": "docker",
                                "description_not_contains": "h_brid"},
         "contains(lower(description_text), 'docker') AND "
@@ -1141,10 +1166,10 @@ def txt_stemmed(spark, sf):
 
 _WORD_IN = (r"regexp_matches(lower(title || ' | ' || coalesce(description_text, '') || ' | ' "
             r"|| company_name_raw), '(^|[^a-z0-9]){}($|[^a-z0-9])')").format
-_filter("txt_06_plain_query", {"keywords": "docker", "job_title": "biller"},
-        _WORD_IN("docker") + " AND " + _WORD_IN("biller"), text_index=True)
-_filter("flt_02_boolean_text", {"boolean": '(python OR "medical biller") NOT epic'},
-        f"({_WORD_IN('python')} OR {_WORD_IN('medical biller')}) AND NOT {_WORD_IN('epic')}",
+_filter("txt_06_plain_query", {"keywords": "docker", "job_title": "pilot"},
+        _WORD_IN("docker") + " AND " + _WORD_IN("pilot"), text_index=True)
+_filter("flt_02_boolean_text", {"boolean": '(python OR "harbour pilot") NOT epic'},
+        f"({_WORD_IN('python')} OR {_WORD_IN('harbour pilot')}) AND NOT {_WORD_IN('epic')}",
         text_index=True)
 
 
@@ -1513,7 +1538,7 @@ def srt_log(spark, sf):
 _SAVED = {
     "remote seniors": {"work_arrangements": ["remote"], "experience_levels": ["senior"]},
     "paid over 100k": {"salary_min": 100000},
-    "anything in texas": {"state": "TX", "include_inactive": True},
+    "anything in oklahoma": {"state": "OK", "include_inactive": True},
 }
 
 
@@ -1525,8 +1550,8 @@ _SAVED = {
     UNION ALL SELECT 'paid over 100k', date_collected, CAST(is_primary AND is_active AND
       (coalesce(salary_annualized_max >= 100000, FALSE)
        OR coalesce(salary_annualized_min >= 100000, FALSE)) AS INT) FROM jobs
-    UNION ALL SELECT 'anything in texas', date_collected,
-      CAST(is_primary AND coalesce(state = 'TX', FALSE) AS INT) FROM jobs) GROUP BY 1""")
+    UNION ALL SELECT 'anything in oklahoma', date_collected,
+      CAST(is_primary AND coalesce(state = 'OK', FALSE) AS INT) FROM jobs) GROUP BY 1""")
 def srt_saved(spark, sf):
     return search.run_saved(corpus.Corpus(corpus.jobs(spark, sf)), _SAVED, AS_OF,
                             dt.datetime(2001, 1, 1))
@@ -1620,20 +1645,35 @@ def snk_snapshot(spark, sf):
 
 # --- streaming -------------------------------------------------------------------------------------
 
-@query("stm_01_incremental_ingest")
+# Arrival order of the drops, which the stream's own numbering follows.
+_ARRIVED = """row_number() OVER (ORDER BY job_id % 3, source_key, source_job_id) AS job_id"""
+_ARRIVALS = ("raw", f"SELECT * REPLACE ({_ARRIVED}), job_id AS first_id FROM ({RAW_SQL})")
+
+
+@query("stm_01_incremental_ingest", """SELECT raw.source_job_id,
+    coalesce(prime = raw.job_id, TRUE) AS is_primary, CASE WHEN prime <> raw.job_id
+      THEN (SELECT r.source_job_id FROM raw r WHERE r.job_id = prime) END AS duplicate_of,
+    CASE WHEN prime = raw.job_id THEN n ELSE 0 END AS duplicate_count,
+    CASE WHEN first_id % 3 = 2 THEN CASE WHEN l.job_id IS NULL THEN 'new' ELSE 'duplicate' END
+      WHEN first_id % 3 = 0 THEN 'updated' END AS outcome
+    FROM raw LEFT JOIN members USING (job_id) LEFT JOIN best USING (root)
+    LEFT JOIN links l ON l.job_id = raw.job_id""", _ARRIVALS, *_LINK_TABLES, *_FOREST)
 def stm_ingest(spark, sf):
-    """Land the corpus in two drops, ingest each, return the corpus by source."""
+    """The whole corpus landed in three drops, the first seen again with the third; each
+    drop is linked with what is stored. The result equals linking all at once."""
     from rolemill.schema import RAW_POSTING
     from rolemill.streaming import ingest
 
-    duplicates.use_checkpoint_folder(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/ingest-{dt.datetime.now().timestamp()}"
+    base = _fresh(spark, "ingest")
     raw = corpus.postings(spark, sf).withColumn("raw", F.lit("{}")).select(
         "job_id", *RAW_POSTING.fieldNames())
-    for part in (0, 1):
-        drop = raw.where(c("job_id") % 3 <= part).drop("job_id")
-        drop.write.mode("append").json(f"{base}/landing")
-        ingest.run_available(spark, f"{base}/landing", f"{base}/corpus",
-                             f"{base}/progress", corpus.MATCHER).awaitTermination()
-    return ingest.current_jobs(spark, f"{base}/corpus").groupBy("source_key", "outcome").agg(
-        F.count(F.lit(1)).alias("jobs"), F.count_if("is_primary").alias("primaries"))
+    for part in (0, 1, 2):
+        drop = raw.where((c("job_id") % 3 == part) | ((c("job_id") % 3 == 0) & F.lit(part == 2)))
+        drop.drop("job_id").write.mode("append").json(f"{base}/landing")
+        ingest.run_available(spark, f"{base}/landing", f"{base}/corpus", f"{base}/progress",
+                             corpus.MATCHER, sequence=False, buckets=8).awaitTermination()
+    jobs = ingest.current_jobs(spark, f"{base}/corpus")
+    names = jobs.select(c("job_id").alias("duplicate_of"), c("source_job_id").alias("primary"))
+    return jobs.join(names, "duplicate_of", "left").select(
+        "source_job_id", "is_primary", c("primary").alias("duplicate_of"), "duplicate_count",
+        "outcome")

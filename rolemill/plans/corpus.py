@@ -43,10 +43,9 @@ def choose(index: str, *options: str) -> str:
 
 
 SOURCES = ["remotive", "adzuna", "usajobs", "greenhouse", "lever", "ashby", "workable"]
-ROLES = ["Medical Biller", "Revenue Cycle Analyst", "Python Engineer",
-         "Data Entry Clerk", "Staff Accountant", "Customer Support Specialist",
-         "Director of Operations", "Project Manager"]
-PLACES = ["Dallas, TX", "Austin, Texas", "Chicago, IL 60601",
+ROLES = ["Harbour Pilot", "Soil Chemist", "Python Tutor", "Tram Conductor",
+         "Choir Librarian", "Glass Restorer", "Director of Ferries", "Project Forester"]
+PLACES = ["Tulsa, OK", "Reno, Nevada", "Peoria, IL 61602",
           "New York, NY, United States", "Remote", "Portland, OR",
           "Boston, Massachusetts 02108", "Seattle, WA", "Anywhere",
           "Denver, CO, USA", "Newark, New Jersey", "Phoenix, AZ 85001-1234"]
@@ -67,7 +66,7 @@ SENTENCES = [
            "Our client is looking for a detail oriented professional.",
            "Join a friendly team that serves clinics across the region.",
            "This is a fully remote position.",
-           "Hybrid schedule, 3 days in office.",
+           "A hybrid rota: two days at the quay, the rest at home.",
            "On-site role at our main campus &amp; nearby clinics."),
     choose(step(K, 5, 6),
            "Requirements: Python, SQL and Docker. Preferred: Kafka and Rust.",
@@ -88,7 +87,7 @@ SENTENCES = [
            "Bachelors degree in any field.",
            "MBA welcome.",
            "PhD in a relevant field.",
-           "High school diploma or GED.",
+           "A GED is enough.",
            "Certified coder (CPC).",
            "Associates degree accepted.",
            "Graduate degree valued.",
@@ -105,7 +104,7 @@ SENTENCES = [
            f"=concat('Total package $', {LOW_K} * 1000, '.')"),
     choose(step(K, 7, 5),
            "Visa sponsorship is available.",
-           "We are unable to sponsor visas.",
+           "We cannot sponsor visas for this seat.",
            "Open to sponsorship for the right person.",
            "No visa sponsorship. Sponsorship available elsewhere.",
            ""),
@@ -123,7 +122,7 @@ SENTENCES = [
     choose(step(K, 13, 6),
            "Urgently hiring!", "Multiple openings.", "Start immediately.", "", "", ""),
     choose(step(K, 6, 8),
-           "Full-time.", "Part time, 20 hrs.", "6 month contract.",
+           "Full-time.", "A part time rota of three mornings.", "6 month contract.",
            "Summer internship.", "Temporary seasonal work.", "Permanent seat.", "", ""),
     choose(f"{C} % 4",
            f"=concat('Email jobs', {C}, '@example.com or call 555-', 100 + {C} % 900, "
@@ -135,9 +134,15 @@ SENTENCES = [
            "We welcome people of every background to apply today.",
            "The team grew quickly and values clear writing and calm days.",
            "The office sits near the river with parking on the lower level."),
+    f"CASE WHEN {K} % 43 = 3 THEN 'Desks: a@d.example, b@d.example, c@d.example, e@d.example, "
+    "f@d.example, g@d.example and 555-201-3001, 555-201-3002, 555-201-3003, 555-201-3004, "
+    "555-201-3005, 555-201-3006.' ELSE '' END",
 ]
-_PARTS = ", ' ', ".join(SENTENCES)
-_ITEMS = ", '</p><p>', ".join(SENTENCES[:6]) + ", '</p><ul><li>', " + (
+# Some postings say all this after a long opening without any of it.
+OPENING = (f"CASE WHEN {K} % 41 = 7 THEN repeat('The lamp is brass and the bench is oak. ', 230) "
+           "ELSE '' END")
+_PARTS = ", ' ', ".join([OPENING, *SENTENCES])
+_ITEMS = f"{OPENING}, '</p><p>', " + ", '</p><p>', ".join(SENTENCES[:6]) + ", '</p><ul><li>', " + (
     ", '</li><li>', ".join(SENTENCES[6:]))
 
 # name -> expression; ``{add_days}`` is the one spot where the dialects differ.
@@ -155,9 +160,9 @@ POSTING = {
     "description_is_truncated": f"({K} % 7 = 1)",
     "location_raw": choose(f"{N} % 12", *PLACES),
     "city": f"CASE WHEN {K} % 7 IN (1, 2) THEN "
-            + choose(f"{N} % 3", "Dallas", "Austin", "Chicago") + " END",
+            + choose(f"{N} % 3", "Tulsa", "Reno", "Peoria") + " END",
     "state": f"CASE WHEN {K} % 7 = 1 THEN "
-             + choose(f"{N} % 3", "TX", "TX", "IL") + " END",
+             + choose(f"{N} % 3", "OK", "NV", "IL") + " END",
     "country": choose(f"{K} % 4", "US", "=NULL", "US", "Canada"),
     "postal_code": f"CASE WHEN {K} % 7 = 6 THEN '73301' END",
     "latitude": "CAST(NULL AS DOUBLE)",

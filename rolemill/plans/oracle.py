@@ -115,9 +115,9 @@ TEXTED = ("SELECT * REPLACE (coalesce(nullif(description_text, ''), "
           f"nullif({html_to_text('description_html')}, '')) AS description_text) FROM raw")
 
 _PLACE = sub(sub(strip("coalesce(location_raw, '')"), vocab.ZIP_CODE), vocab.US_WORDS)
-_WINDOW = "left(description_text, 8000)"
+_WINDOW = "description_text"
 STAGED = f"""SELECT *,
-  {group('left(description_text, 6000)', vocab.SALARY_AMOUNT, 0)} AS pay_match,
+  {group('description_text', vocab.SALARY_AMOUNT, 0)} AS pay_match,
   list_filter(list_transform(string_split({_PLACE}, ','), lambda p: trim(p, ' ,-')),
               lambda p: p <> '') AS parts,
   coalesce(city, '') = '' OR coalesce(state, '') = '' AS incomplete,
@@ -130,9 +130,9 @@ STAGED = f"""SELECT *,
     nullif(list_position({WORDS}, lower({group(_WINDOW, r"(?i)\b(" + "|".join(
         vocab.NUMBER_WORDS) + r")\s*\+?\s*(?:years?|yrs?)", 1)})), 0)) AS single_years,
   lower(concat_ws(' ', title, nullif(location_raw, ''),
-        nullif(left(description_text, 4000), ''))) AS place_blob,
+        nullif(description_text, ''))) AS place_blob,
   lower(concat_ws(' ', nullif(employment_type, ''), title,
-        nullif(left(description_text, 2000), ''))) AS type_blob,
+        nullif(description_text, ''))) AS type_blob,
   title || chr(10) || coalesce(description_text, '') AS flag_blob
 FROM texted"""
 
@@ -141,10 +141,10 @@ STAGED2 = f"""SELECT *,
   CASE WHEN list_contains(map_values({STATES}), upper({_TAIL})) THEN upper({_TAIL})
        ELSE {STATES}[lower({_TAIL})] END AS parsed_state,
   {amount(1)} AS low_pay, {amount(3)} AS high_pay,
-  lower(substr(left(description_text, 6000),
-    greatest(1, strpos(left(description_text, 6000), pay_match) - 60),
-    strpos(left(description_text, 6000), pay_match) + length(pay_match) + 60
-    - greatest(1, strpos(left(description_text, 6000), pay_match) - 60))) AS pay_text,
+  lower(substr(description_text,
+    greatest(1, strpos(description_text, pay_match) - 60),
+    strpos(description_text, pay_match) + length(pay_match) + 60
+    - greatest(1, strpos(description_text, pay_match) - 60))) AS pay_text,
   coalesce(range_low <= 40 AND range_low <= range_high AND range_high <= 40, FALSE)
     AS ranged,
   coalesce(salary_min, 0) <> 0 OR coalesce(salary_max, 0) <> 0 AS structured,
@@ -191,7 +191,7 @@ JOBS = f"""SELECT * EXCLUDE (pay_match, parts, incomplete, zip, range_low, range
     CASE WHEN (CASE WHEN ranged THEN range_low ELSE single_years END) >= 8 THEN 'senior'
          WHEN (CASE WHEN ranged THEN range_low ELSE single_years END) >= 3 THEN 'mid'
          WHEN (CASE WHEN ranged THEN range_low ELSE single_years END) >= 0 THEN 'entry' END,
-    {label('lower(left(description_text, 1500))', vocab.LEVEL_PATTERNS)}) AS experience_level,
+    {label('lower(description_text)', vocab.LEVEL_PATTERNS)}) AS experience_level,
   {label(f'lower({_WINDOW})', vocab.EDUCATION_PATTERNS)} AS education_level,
   {annual('salary_min', 'salary_period')} AS salary_annualized_min,
   {annual('salary_max', 'salary_period')} AS salary_annualized_max,
@@ -328,4 +328,4 @@ def top_dims(scope: str, limits: dict, extra: str = "") -> str:
 
 FACET_SQL = top_dims("scope", FACETS, " UNION ALL SELECT 'skills', skill, count(*), 12 FROM "
                      "job_skills JOIN scope USING (job_id) GROUP BY 2")
-BREAKDOWN_SQL = top_dims("scope", {**BREAKDOWNS, "work_arrangement": 1000})
+BREAKDOWN_SQL = top_dims("scope", {**BREAKDOWNS, "work_arrangement": 1 << 40})

@@ -334,10 +334,13 @@ def _kinds(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     return lines, [f for f in files if f not in set(lines)]
 
 
-def land(spark: SparkSession, source: str, path: str,
-         names: DataFrame | None = None) -> Landed:
+def land(spark: SparkSession, source: str, path: str, names: DataFrame | None = None,
+         envelope: bool = False) -> Landed:
     """One provider's landed files, however they are laid out: a payload a line or a
-    payload a file, compressed or not. Files of lines are read in splits."""
+    payload a file, compressed or not. Files of lines are read in splits.
+
+    With ``envelope`` each payload lies in an object {token, payload}, so that many
+    boards share a file."""
     lines, whole = _kinds(spark, path)
     parts = [spark.read.text(lines)] if lines else []
     parts += [spark.read.text(whole, wholetext=True)] if whole else []
@@ -354,7 +357,13 @@ def land(spark: SparkSession, source: str, path: str,
     out = None
     for part in parts:
         made = part.select(F.col("_metadata.file_path").alias("file"), token.alias("token"),
-                           body.alias("body")).where("body <> ''").withColumn("p", parsed).select(
+                           body.alias("body")).where("body <> ''")
+        if envelope:
+            inner = F.from_json("body", "token string, payload string")
+            made = made.withColumn("e", inner).select(
+                "file", F.coalesce("e.token", "token").alias("token"),
+                F.coalesce("e.payload", "body").alias("body"))
+        made = made.withColumn("p", parsed).select(
             "file", "token", "body", rows.alias("rows"))
         out = made if out is None else out.unionByName(made)
     if out is None:
