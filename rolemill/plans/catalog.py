@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rolemill import vocab
 from rolemill.functions import dates, extract, fingerprint, labels, pay, place, text, titles
 from rolemill.operators import (aggregates, companies as co, customfields, duplicates,
-                                export, ranking, research as re_, scoring, search, skills,
+                                export, joins, ranking, research as re_, scoring, search, skills,
                                 textindex, upserts)
 from rolemill.plans import corpus
 from rolemill.plans.oracle import (RAW as RAW_SQL, ALIAS_PATTERN, BREAKDOWN_SQL, FACET_SQL, annual, board,
@@ -397,17 +397,22 @@ _job_query("nrm_13_salary", ["salary_min", "salary_max", "salary_period",
                              "salary_annualized_max"])
 
 
-@query("nrm_14_dates", """SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 7 < 6
-    THEN o_orderdate END, '%Y-%m-%d %H:%M:%S') AS parsed FROM orders""")
+# Spellings of a date as Spark patterns; the last ones are no dates.
+_SPELLINGS = [
+    "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d-MMM-yyyy", "yyyyMMdd", "EEEE, MMMM d, yyyy 'at' h:mm a",
+    "M/d/yyyy h:mm a", "dd MMM yyyy HH:mm:ss '+0000'", "yyyy/MM/dd HH:mm", "MMM. d, yyyy", "dd MMMM yyyy"]
+
+
+@query("nrm_14_dates", f"""SELECT o_orderkey, strftime(CASE WHEN o_orderkey % {len(_SPELLINGS) + 3}
+    < {len(_SPELLINGS) + 2} THEN o_orderdate END, '%Y-%m-%d %H:%M:%S') AS parsed FROM orders""")
 def nrm_dates(spark, sf):
-    d = c("o_orderdate").cast("timestamp")
-    written = (F.when(c("o_orderkey") % 7 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ssXXX"))
-               .when(c("o_orderkey") % 7 == 1, F.date_format(d, "yyyy-MM-dd"))
-               .when(c("o_orderkey") % 7 == 2, F.date_format(d, "MM/dd/yyyy"))
-               .when(c("o_orderkey") % 7 == 3, F.date_format(d, "MMMM d, yyyy"))
-               .when(c("o_orderkey") % 7 == 4, F.unix_seconds(d).cast("string"))
-               .when(c("o_orderkey") % 7 == 5, F.unix_millis(d).cast("string"))
-               .otherwise("soon"))
+    d, n = c("o_orderdate").cast("timestamp"), len(_SPELLINGS)
+    kind = c("o_orderkey") % (n + 3)
+    written = F.when(kind == n, F.unix_seconds(d).cast("string")).when(
+        kind == n + 1, F.unix_millis(d).cast("string")).when(kind == n + 2, "soon")
+    for i, spelling in enumerate(_SPELLINGS):
+        written = written.when(kind == i, F.date_format(d, spelling))
     return corpus.table(spark, sf, "orders").select(
         "o_orderkey", F.date_format(dates.parse_date(written), "yyyy-MM-dd HH:mm:ss")
         .alias("parsed"))
@@ -1223,13 +1228,15 @@ def jon_prefetch(spark, sf):
                     "industry"))
 
 
-@query("jon_06_theta_self", """SELECT i.canonical_hash, count(*) AS earlier FROM jobs i
-    JOIN jobs j ON i.canonical_hash = j.canonical_hash AND j.seq < i.seq GROUP BY 1""")
+@query("jon_06_theta_self", """SELECT i.canonical_hash, count(*) AS earlier,
+    min(i.seq - j.seq) AS nearest, max(i.seq - j.seq) AS farthest FROM jobs i
+    JOIN jobs j ON i.canonical_hash = j.canonical_hash AND j.seq < i.seq
+    AND i.seq - j.seq <= 5000 GROUP BY 1""")
 def jon_theta(spark, sf):
-    """Earlier members per group: n(n-1)/2, so no pair needs to be formed."""
-    sizes = corpus.jobs(spark, sf).groupBy("canonical_hash").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where("n > 1").select("canonical_hash", F.floor(
-        c("n") * (c("n") - 1) / 2).cast("long").alias("earlier"))
+    jobs = corpus.jobs(spark, sf).select("canonical_hash", "seq")
+    return joins.earlier_within(jobs, "canonical_hash", "seq", 5000).groupBy("canonical_hash").agg(
+        F.count(F.lit(1)).alias("earlier"), F.min(c("seq") - c("earlier_seq")).alias("nearest"),
+        F.max(c("seq") - c("earlier_seq")).alias("farthest"))
 
 
 @query("jon_07_literal_lookup", f"""SELECT source_key, {_DEPTH} AS depth, count(*) AS n

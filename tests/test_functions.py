@@ -134,6 +134,13 @@ def test_dates(spark):
         "1709596800": d, "1709596800000": d, "5 Mar 2024": d, "2024-03-05T02:00:00+02:00": d,
         "soon": None, "": None, "0": None, None: None,
         "2024-03-05T00:00:00.250000": dt.datetime(2024, 3, 5, 0, 0, 0, 250000),
+        "Tue, 05 Mar 2024 10:20:30 GMT": dt.datetime(2024, 3, 5, 10, 20, 30),
+        "Tue, 05 Mar 2024 10:20:30 +0530": dt.datetime(2024, 3, 5, 4, 50, 30),
+        "2024-03-05 10:20:30.5 -05:00": dt.datetime(2024, 3, 5, 15, 20, 30, 500000),
+        "March 5th, 2024 at 12:05 am": dt.datetime(2024, 3, 5, 0, 5),
+        "5 of march 2024": d, "20240305": d, "20240305T102030": None, "5-Mar-2024": d,
+        "13/3/2024": dt.datetime(2024, 3, 13), "3/13/2024 1:05 PM": dt.datetime(2024, 3, 13, 13, 5),
+        "2024-02-30": None, "2024-03-05 25:00": None, "13 pm": None, "2024-03-05 and more": None,
     }, dates.parse_date)
 
 
