@@ -427,10 +427,9 @@ def nrm_age(spark, sf):
 
 @query("nrm_16_summary", f"""SELECT doc_id, CASE WHEN length(f) <= 320 THEN f ELSE
     regexp_replace(left(f, 320), ' [^ ]*$', '') || '...' END AS summary FROM (
-    SELECT doc_id, {strip(sub('text', chr(92) + 's+', "' '"))} AS f FROM documents
-    WHERE text <> '')""")
+    SELECT doc_id, {strip(sub('text', chr(92) + 's+', "' '"))} AS f FROM documents)""")
 def nrm_summary(spark, sf):
-    docs = corpus.table(spark, sf, "documents").where("text <> ''")
+    docs = corpus.table(spark, sf, "documents")
     return docs.select("doc_id", text.summarize(c("text")).alias("summary"))
 
 
@@ -680,29 +679,32 @@ _STATE = ["source_key", "source_job_id", "job_id", "title", "description_text",
 
 
 def _stored_and_batch(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Two thirds of the corpus as stored, half of it seen again as a batch."""
+    """Two thirds of the corpus as stored; the batch has the other third and half of those
+    seen again."""
     j = corpus.jobs(spark, sf).select(
         *_STATE, "date_collected", "seq",
         F.lit(0).cast("long").alias("duplicate_count"))
     stored = j.where(c("job_id") % 3 < 2)
-    batch = j.where(c("job_id") % 2 == 0).withColumns({
+    batch = j.where((c("job_id") % 2 == 0) | (c("job_id") % 3 == 2)).withColumns({
         "title": F.concat("title", F.lit(" v2")),
         "description_text": F.concat("description_text", F.lit(" v2")),
         "description_is_truncated": c("job_id") % 5 < 2})
     return stored, batch
 
 
+_BATCH = "(job_id % 2 = 0 OR job_id % 3 = 2)"
+
+
 @query("ups_01_job_upsert", f"""SELECT job_id,
-    CASE WHEN job_id % 2 = 0 THEN title || ' v2' ELSE title END AS title,
-    CASE WHEN job_id % 2 = 0 AND NOT (job_id % 3 < 2 AND NOT description_is_truncated
+    CASE WHEN {_BATCH} THEN title || ' v2' ELSE title END AS title,
+    CASE WHEN {_BATCH} AND NOT (job_id % 3 < 2 AND NOT description_is_truncated
       AND job_id % 5 < 2) THEN description_text || ' v2' ELSE description_text END
       AS description_text,
-    CASE WHEN job_id % 2 = 0 THEN strftime({AS_OF_SQL}, '%Y-%m-%d')
+    CASE WHEN {_BATCH} THEN strftime({AS_OF_SQL}, '%Y-%m-%d')
       ELSE strftime(last_seen_at, '%Y-%m-%d') END AS seen,
-    CASE WHEN job_id % 2 = 0 THEN TRUE ELSE is_active END AS is_active,
-    CASE WHEN job_id % 2 = 0 AND job_id % 3 < 2 THEN 'updated'
-         WHEN job_id % 2 = 0 THEN 'new' END AS outcome
-    FROM jobs WHERE job_id % 3 < 2 OR job_id % 2 = 0""")
+    CASE WHEN {_BATCH} THEN TRUE ELSE is_active END AS is_active,
+    CASE WHEN {_BATCH} AND job_id % 3 < 2 THEN 'updated'
+         WHEN {_BATCH} THEN 'new' END AS outcome FROM jobs""")
 def ups_jobs(spark, sf):
     stored, batch = _stored_and_batch(spark, sf)
     return upserts.upsert_jobs(stored, batch, AS_OF).select(
@@ -710,11 +712,15 @@ def ups_jobs(spark, sf):
         F.date_format("last_seen_at", "yyyy-MM-dd").alias("seen"), "is_active", "outcome")
 
 
-@query("ups_02_outcome_counts", """SELECT coalesce(source_key, 'total') AS source_key,
-    count(*) AS fetched, count(*) FILTER (job_id % 3 = 2 AND job_id % 2 = 0) AS new,
-    count(*) FILTER (job_id % 3 < 2 AND job_id % 2 = 0) AS updated, 0 AS duplicate,
-    count(*) FILTER (job_id % 2 = 1) AS failed
-    FROM raw WHERE job_id % 2 = 0 OR job_id % 11 = 1 GROUP BY GROUPING SETS ((source_key), ())""")
+_FAILED = "(job_id % 11 = 1 AND job_id % 2 = 1)"
+
+
+@query("ups_02_outcome_counts", f"""SELECT coalesce(source_key, 'total') AS source_key,
+    count(*) FILTER ({_BATCH}) + count(*) FILTER ({_FAILED}) AS fetched,
+    count(*) FILTER (job_id % 3 = 2) AS new,
+    count(*) FILTER ({_BATCH} AND job_id % 3 < 2) AS updated, 0 AS duplicate,
+    count(*) FILTER ({_FAILED}) AS failed
+    FROM raw WHERE {_BATCH} OR {_FAILED} GROUP BY GROUPING SETS ((source_key), ())""")
 def ups_outcomes(spark, sf):
     stored, batch = _stored_and_batch(spark, sf)
     raw = corpus.postings(spark, sf).where((c("job_id") % 11 == 1) & (c("job_id") % 2 == 1))
@@ -1060,9 +1066,9 @@ def flt_companies(spark, sf):
 
 
 @query("flt_24_skills", "SELECT p_partkey AS skill_id, p_name AS name FROM part "
-       "WHERE contains(lower(p_name), '7') AND p_brand = 'Brand#11'")
+       "WHERE contains(lower(p_name), 'blue') AND p_brand = 'Brand#4'")
 def flt_skills(spark, sf):
-    return search.filter_skills(_part_taxonomy(spark, sf), "7", "Brand#11").select(
+    return search.filter_skills(_part_taxonomy(spark, sf), "Blue", "Brand#4").select(
         "skill_id", "name")
 
 
