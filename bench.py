@@ -16,7 +16,7 @@ from rolemill.plans import catalog  # noqa: E402
 from rolemill.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "nrm_01_html_to_text", "nrm_13_salary", "ext_02_skill_matches", "ext_11_contacts",
+    "snk_06_enrich_and_store", "nrm_01_html_to_text", "nrm_13_salary", "ext_02_skill_matches", "ext_11_contacts",
     "dup_02_simhash", "dup_09_verdict", "scr_04_job_score", "flt_06_enums",
     "flt_15_required_skills", "flt_20_custom_fields", "txt_04_boolean", "txt_05_bm25",
     "agg_02_facets", "agg_03_breakdowns", "agg_04_salary_bands", "agg_04b_price_bands",

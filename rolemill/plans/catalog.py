@@ -10,7 +10,8 @@ from rolemill import vocab
 from rolemill.functions import dates, extract, fingerprint, labels, pay, place, text, titles
 from rolemill.operators import (aggregates, companies as co, customfields, duplicates,
                                 export, joins, ranking, research as re_, scoring, search, skills,
-                                textindex, upserts)
+                                store, textindex, upserts)
+from rolemill.operators.enrich import enrich
 from rolemill.plans import corpus
 from rolemill.plans.oracle import (RAW as RAW_SQL, ALIAS_PATTERN, BREAKDOWN_SQL, FACET_SQL, annual, board,
                                    company_key, group, has, html_to_text, q, simhash,
@@ -672,6 +673,17 @@ def dup_reverse(spark, sf):
     return duplicates.duplicates_of(corpus.postings(spark, sf))
 
 
+@query("snk_06_enrich_and_store", """SELECT work_arrangement, count(*) AS jobs,
+    count(salary_annualized_min) AS paid, count(years_experience_min) AS with_years
+    FROM jobs GROUP BY 1""")
+def snk_enriched(spark, sf):
+    """The whole enrichment, written anew and read back."""
+    stored = store.save_jobs(enrich(corpus.postings(spark, sf), corpus.MATCHER), _fresh(spark, "enriched"))
+    return stored.groupBy("work_arrangement").agg(
+        F.count(F.lit(1)).alias("jobs"), F.count("salary_annualized_min").alias("paid"),
+        F.count("years_experience_min").alias("with_years"))
+
+
 # --- upserts and maintenance -----------------------------------------------------------
 
 _STATE = ["source_key", "source_job_id", "job_id", "title", "description_text",
