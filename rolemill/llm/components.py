@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.llm.tables import keep
+from rolemill.llm.tables import drop, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "b")
         small = joined.select(F.col("m").alias("a"), "b").unionByName(
             joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b")
-        state = keep(small.distinct())
+        old, state = state, keep(small.distinct())
+        drop(old)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

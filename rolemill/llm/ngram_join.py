@@ -15,7 +15,8 @@ thousands of near copies cost as many comparisons as they have members. Members
 are still apart are compared with further smallest members and at last pair by pair. A
 parity sketch of each set (which of 512 hash classes hold an odd number of tokens)
 bounds two sets' difference from below, so pairs that differ too much go before their
-texts are read. Every other candidate is verified on the whole texts.
+texts are read. Every other candidate is verified on the whole texts. Tables that only
+finished steps have read are deleted on the way.
 
 Counting covers a fixed fifth of the hash space over all texts; which tokens count as
 frequent changes the work and never the result.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rolemill.llm import shingles
 from rolemill.llm.components import components
-from rolemill.llm.tables import keep
+from rolemill.llm.tables import drop, keep
 
 TOKEN_BITS = 40
 # The counted part of the hash space.
@@ -240,7 +241,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             .agg(F.min(F.struct("doc_id", "k", "id")).alias("r")))
     reps = keep(sets.select("n", "f1", "f2", "r.doc_id", "r.k", "r.id"))
     rep_sets = keep(index.select("id", "tokens", *SKETCH).join(reps.select("id", "n"), "id"))
-    sketches = {p: rep_sets.select(F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), *[
+    sketch = keep(rep_sets.drop("tokens"))
+    sketches = {p: sketch.select(F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), *[
         F.col(b).alias(p + b) for b in SKETCH]) for p in ("a_", "b_")}
     entry = Window.partitionBy("sig")
     entries = keep(
@@ -249,11 +251,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         .withColumn("lead", F.min(F.struct("id", "n")).over(entry))
         .where("members > 1")
         .select("sig", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
-    needed = entries.select("id").distinct().join(reps, "id").select("id", "doc_id", "k")
-    texts = keep(source.join(needed, ["doc_id", "k"]).dropDuplicates(["id"]).select("id", "text"))
+    # Tokens have done their work.
+    rows = keep(index.select("doc_id", "k", "n", "f1", "f2"))
+    drop(index, rep_sets)
 
     def check(pairs: DataFrame) -> DataFrame:
-        return verified(possible(pairs), texts, words, num, den)
+        """The pairs that link. Texts are read for the pairs that the sketches leave."""
+        close = keep(possible(pairs))
+        ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+        wanted = keep(ids.join(reps, "id").select("id", "doc_id", "k"))
+        texts = keep(source.join(wanted, ["doc_id", "k"]).dropDuplicates(["id"]).select("id", "text"))
+        found = keep(verified(close, texts, words, num, den))
+        drop(close, wanted, texts)
+        return found
 
     def possible(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(sketches["a_"], F.col("a") == F.col("a_id"))
@@ -263,9 +273,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     stars = entries.where((F.col("id") != F.col("lead")) & _fits("n", "lead_n", num, den)).select(
         F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = keep(stars)
-    edges = keep(check(tested))
+    edges = check(tested)
     comps = keep(components(edges))
-    open_ = entries.where("id <> lead").select("sig", "id", "n")
+    open_, last = entries.where("id <> lead").select("sig", "id", "n"), entries
     for step in range(ROUNDS + 1):
         labelled = open_.join(comps, "id", "left").select(
             "sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
@@ -273,6 +283,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
             F.min(F.struct("id", "n", "comp")).alias("l")).where("c0 <> c1").select("sig", "m", "l")
         apart = keep(labelled.join(spread, "sig"))
+        drop(last)
+        last = apart
         if step < ROUNDS:
             hot = apart.where(F.col("m") > SMALL)
             pairs = hot.where((F.col("comp") != F.col("l.comp")) & _fits("n", "l.n", num, den)) \
@@ -285,10 +297,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 F.count(F.lit(1)).alias("m"), F.min("id").alias("i0"), F.max("id").alias("i1"),
                 F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
             alone = alike.groupBy("m", "i0", "i1", "s").agg(F.min("sig").alias("sig"))
-            rest = apart.join(alone.select("sig"), "sig", "left_semi").select("sig", "id", "comp")
-            one = keep(rest.join(sketches["a_"], F.col("id") == F.col("a_id")).drop("id"))
-            two = rest.withColumnRenamed("comp", "b_comp").join(
-                sketches["b_"], F.col("id") == F.col("b_id")).drop("id")
+            rest = keep(apart.join(alone.select("sig"), "sig", "left_semi").select("sig", "id", "comp"))
+            one, two = (rest.withColumnRenamed("comp", "comp" if p == "a_" else "b_comp")
+                        .join(sketches[p], F.col("id") == F.col(p + "id")).drop("id") for p in ("a_", "b_"))
             pairs = one.join(two, "sig").where(
                 (F.col("a_id") < F.col("b_id")) & (F.col("comp") != F.col("b_comp"))
                 & _fits("a_n", "b_n", num, den)
@@ -297,14 +308,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         pairs = keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        found = keep(check(pairs))
+        found = check(pairs)
         tested = tested.unionByName(pairs)
         edges = edges.unionByName(found)
         comps = keep(components(edges))
     group = (reps.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     first = group.groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("_first"))
     named = group.join(first, "comp").select("n", "f1", "f2", "_first")
-    out = index.drop("tokens", "id", *SKETCH).join(named, ["n", "f1", "f2"], "left")
+    out = rows.join(named, ["n", "f1", "f2"], "left")
     linked = F.col("_first").isNotNull() & F.col("doc_id").isNotNull()
     return out.select(
         "doc_id", "k", F.col("n").alias("n_shingles"),

@@ -1,5 +1,6 @@
 """Tables shared by the operators: inputs, tables kept between steps, worker memory."""
 
+import gc
 import sys
 import types
 import uuid
@@ -24,7 +25,24 @@ def keep(df: DataFrame) -> DataFrame:
     use_checkpoint_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_in = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes kept tables that only finished steps have read: what was made of them has
+    been kept itself, so lost executors need none of them.
+
+    The driver's garbage is collected as well; Spark then removes the shuffle files of
+    steps that nothing refers to any more."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.kept_in
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def worker_memory(name: str, make):
