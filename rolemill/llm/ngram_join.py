@@ -1,13 +1,19 @@
 """Near duplicates by word n-gram Jaccard, exactly, with token-combination prefixes.
 
-Two texts link when ``den * |A & B| >= num * |A | B|`` of their shingle sets. All
-tokens (40-bit shingle hashes) have one global order: counted tokens that are rare,
-counted tokens that are frequent, the rest. A set of n tokens that links with another
-misses at most ``e = n - ceil(num * n / den)`` of its own there, so it indexes the
-shortest prefix that e misses cannot exhaust: every rare token in it counts one and is
-indexed alone; frequent tokens are dealt to small classes and indexed in pairs within
-a class, where k tokens count k - 1; so the prefix is extended until the counts exceed
-e. Linked sets then share an indexed token or pair.
+Two texts link when ``den * |A & B| >= num * |A | B|`` of their shingle sets. Tokens
+(40-bit shingle hashes) have one global order: counted tokens that are rare, then the
+rest. A set of n tokens that links with another misses at most
+``e = n - ceil(num * n / den)`` of its own there. A set with more than e rare tokens
+indexes its first e + 1 of them, each alone; its partners share one of these. Any other
+set indexes its rare tokens alone and extends its prefix to the whole set, where most
+tokens are frequent: all tokens are dealt by hash to classes, and what a class holds is
+indexed as one combination. Linked sets differ in at most
+``d = (n + n') * (den - num) / (den + num)`` tokens and there are more than d classes,
+so they agree on a class. A combination holds some six tokens: sets that share a passage
+and little else seldom agree on one, while pairs of tokens of the passage would join all
+of them. The number of classes follows from a range of sizes; each set is dealt for the
+two ranges that its partners may lie in. Classes without tokens are indexed only by
+sets so unevenly dealt that they could agree with a partner on these alone.
 
 Equal sets are collapsed first. Members of an index entry are compared with its
 smallest member; what these comparisons join needs no more of them, so groups of
@@ -18,13 +24,16 @@ bounds two sets' difference from below, so pairs that differ too much go before
 texts are read. Every other candidate is verified on the whole texts. Tables that only
 finished steps have read are deleted on the way.
 
-Counting covers a fixed fifth of the hash space over all texts; which tokens count as
+Counting covers a fixed quarter of the hash space over all texts; which tokens count as
 frequent changes the work and never the result.
 
 Rows with null or blank text, or with a null key, link with nothing. Rows equal in key
 and text are one document; a repeated key with other texts is more than one.
 """
 
+from bisect import bisect_right
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -65,11 +74,11 @@ def _unpack(data) -> np.ndarray:
 
 
 def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, k, n, f1, f2, tokens, b0..): set size, set fingerprint, the first
-    tokens, the parity sketch."""
+    """(doc_id, k, n, f1, f2, tokens, classes, b0..): set size, set fingerprint, counted
+    tokens, combinations, the parity sketch."""
     def run(batches):
         for batch in batches:
-            n_out, f1, f2, out, odd = [], [], [], [], []
+            n_out, f1, f2, out, classes, odd = [], [], [], [], [], []
             for _, raw, offsets in shingles.text_slices(batch.column(2)):
                 hashes, begin = shingles.shingle_sets(raw, offsets, words)
                 one, two = shingles.mix(hashes), shingles.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
@@ -85,21 +94,22 @@ def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 odd.append(np.packbits(count.astype(np.uint8)).view(np.int64)
                            .reshape(sets, len(SKETCH)))
                 short = hashes >> np.uint64(64 - TOKEN_BITS)
-                for a, b in zip(begin.tolist(), begin[1:].tolist()):
-                    own = short[a:b]
-                    upto = int(np.searchsorted(own, COUNTED)) + errors(b - a, num, den) + 1
-                    out.append(_pack(own[:upto]))
+                for x, y in zip(begin.tolist(), begin[1:].tolist()):
+                    out.append(_pack(short[x:x + int(np.searchsorted(short[x:y], COUNTED))]))
+                made, ends = combinations(short, begin, num, den)
+                packed = _pack(made)
+                classes += [packed[5 * x:5 * y] for x, y in zip(ends.tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
                  *[pa.array(np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64))
-                   for x in (n_out, f1, f2)], pa.array(out, pa.binary()),
+                   for x in (n_out, f1, f2)], pa.array(out, pa.binary()), pa.array(classes, pa.binary()),
                  *[pa.array(np.ascontiguousarray(np.concatenate(
                      odd or [np.zeros((0, len(SKETCH)), np.int64)])[:, i]))
                    for i in range(len(SKETCH))]],
-                names=["doc_id", "k", "n", "f1", "f2", "tokens", *SKETCH])
+                names=["doc_id", "k", "n", "f1", "f2", "tokens", "classes", *SKETCH])
 
     return docs.mapInArrow(run, "doc_id long, k long, n long, f1 long, f2 long, tokens binary, "
-                           + ", ".join(f"{b} long" for b in SKETCH))
+                           "classes binary, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -119,51 +129,77 @@ def _frequent(sets: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy()).astype(np.uint64)
 
 
-def _bands(n: int, num: int, den: int):
-    """Powers of two between which n and the sizes it may link with lie."""
-    band = n.bit_length()
-    yield band
-    if (num * n // den).bit_length() < band:
-        yield band - 1
-    if (den * n // num + 1).bit_length() > band:
-        yield band + 1
-
-
-def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, num: int, den: int):
-    """The 64-bit index entries of one set; see the module's text."""
+def _differ(n: int, most: int, num: int, den: int) -> int:
+    """Tokens in which a set of n may differ from a linked one of at most ``most``."""
+    return (n + min(most, den * n // num)) * (den - num) // (den + num)
+
+
+@lru_cache(maxsize=None)
+def _edges(upto: int, num: int, den: int) -> tuple:
+    """Where ranges of sizes begin. Linked sizes lie in one range or in neighbours."""
+    edges = [1]
+    while edges[-1] <= upto:
+        edges.append(den * edges[-1] // num + 1)
+    return tuple(edges)
+
+
+@lru_cache(maxsize=1 << 16)
+def deals(n: int, num: int, den: int) -> tuple:
+    """(range, classes, tokens n may differ in) for the two deals of a set of n."""
+    edges = _edges(1 << n.bit_length(), num, den)
+    at = bisect_right(edges, n) - 1
+    out = []
+    for upper in (at, at + 1):
+        most = (edges[upper + 1] if upper + 1 < len(edges) else den * edges[upper] // num + 1) - 1
+        # A twentieth and two more than needed, as some classes stay without tokens.
+        out.append((upper, _differ(most, most, num, den) * 21 // 20 + 3, _differ(n, most, num, den)))
+    return tuple(out)
+
+
+def combinations(tokens: np.ndarray, begin: np.ndarray, num: int, den: int):
+    """(40-bit combinations, where each set's begin) of sets ``tokens[begin[i]:begin[i + 1]]``."""
+    sizes = np.diff(begin)
+    kept, owner = [], []
+    known, which = np.unique(sizes, return_inverse=True)
+    for deal in (0, 1):
+        told = np.array([deals(int(n), num, den)[deal] if n else (0, 0, 0) for n in known],
+                        np.int64).reshape(-1, 3)[which]
+        first = np.concatenate([[0], np.cumsum(told[:, 1])])
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        salt = shingles.mix(told[:, 0].astype(np.uint64) + np.uint64(1 << 32))
+        label = shingles.mix(tokens ^ salt[own]) % told[own, 1].astype(np.uint64)
+        place = first[own] + label.astype(np.int64)
+        held = np.bincount(place, minlength=first[-1])
+        total = np.zeros(first[-1], np.uint64)
+        np.add.at(total, place, shingles.mix(tokens))
+        of = np.repeat(np.arange(len(sizes)), told[:, 1])
+        filled = np.bincount(of[held > 0], minlength=len(sizes))
+        use = (held > 0) | (filled <= told[:, 2])[of]
+        within = (np.arange(first[-1]) - first[of]).astype(np.uint64)
+        made = shingles.mix(total ^ shingles.mix(within ^ salt[of]))[use]
+        kept.append(made >> np.uint64(64 - TOKEN_BITS))
+        owner.append(of[use])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(kept)[order],
+            np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]))
+
+
+def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, num: int, den: int, classes=None):
+    """The 64-bit index entries of one set; see the module's text. Without ``classes``,
+    its combinations, ``tokens`` must be the whole set."""
     if not n:
         return np.zeros(0, np.uint64)
     need = errors(n, num, den) + 1
-    tokens = np.unique(tokens)
-    split = int(np.searchsorted(tokens, COUNTED))
-    counted = tokens[:split]
+    counted = np.unique(tokens[tokens < COUNTED])
     at = np.minimum(np.searchsorted(frequent, counted), max(len(frequent) - 1, 0))
     hot = frequent[at] == counted if len(frequent) else np.zeros(len(counted), bool)
-    rare = counted[~hot][:need]
-    out = [shingles.mix(rare)]
-    need -= len(rare)
-    if need <= 0:
-        return out[0]
-    often, least = counted[hot], 0
-    for band in _bands(n, num, den):
-        classes = max(1, (1 << band) // 24)
-        label = shingles.mix(often + np.uint64(band << 48)) % np.uint64(classes)
-        members: dict[int, list[int]] = {}
-        made, left = [], need
-        for k, token in zip(label.tolist(), often.tolist()):
-            if left <= 0:
-                break
-            own = members.setdefault(k, [])
-            made += [(other, token) for other in own]
-            left -= bool(own)
-            own.append(token)
-        if made:
-            pairs = np.array(made, np.uint64)
-            out.append(shingles.mix(shingles.mix(pairs[:, 0] + np.uint64(band << 48))
-                                    ^ pairs[:, 1]))
-        least = max(least, left)
-    out.append(shingles.mix(tokens[split:split + max(least, 0)]))
-    return np.unique(np.concatenate(out))
+    rare = shingles.mix(counted[~hot][:need])
+    if len(rare) == need:
+        return rare
+    if classes is None:
+        classes = combinations(tokens, np.array([0, len(tokens)]), num, den)[0]
+    return np.unique(np.concatenate([rare, shingles.mix(classes + np.uint64(1 << TOKEN_BITS))]))
 
 
 def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,8 +208,8 @@ def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes = batch.column(1).to_pylist()
-            made = [signatures(_unpack(t.as_buffer()), n, shared.value, num, den)
-                    for t, n in zip(batch.column(2), sizes)]
+            made = [signatures(_unpack(t.as_buffer()), n, shared.value, num, den, _unpack(c.as_buffer()))
+                    for t, c, n in zip(batch.column(2), batch.column(3), sizes)]
             count = np.array([len(x) for x in made], np.int64)
             repeat = np.repeat(np.arange(len(made)), count)
             yield pa.RecordBatch.from_arrays(
@@ -181,7 +217,7 @@ def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
                  batch.column(0).take(pa.array(repeat)),
                  batch.column(1).take(pa.array(repeat))], names=["sig", "id", "n"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(run, "sig long, id long, n long")
+    return sets.select("id", "n", "tokens", "classes").mapInArrow(run, "sig long, id long, n long")
 
 
 def _fits(a: str, b: str, num: int, den: int):
@@ -240,8 +276,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     sets = (index.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2")
             .agg(F.min(F.struct("doc_id", "k", "id")).alias("r")))
     reps = keep(sets.select("n", "f1", "f2", "r.doc_id", "r.k", "r.id"))
-    rep_sets = keep(index.select("id", "tokens", *SKETCH).join(reps.select("id", "n"), "id"))
-    sketch = keep(rep_sets.drop("tokens"))
+    rep_sets = keep(index.select("id", "tokens", "classes", *SKETCH).join(reps.select("id", "n"), "id"))
+    sketch = keep(rep_sets.drop("tokens", "classes"))
     sketches = {p: sketch.select(F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), *[
         F.col(b).alias(p + b) for b in SKETCH]) for p in ("a_", "b_")}
     entry = Window.partitionBy("sig")
