@@ -47,11 +47,13 @@ TOKEN_BITS = 40
 # The counted part of the hash space.
 COUNTED = 1 << (TOKEN_BITS - 2)
 # Tokens in more sets than this are frequent; at most so many are told to the workers.
-FREQUENT = 16
+FREQUENT = 4
 MOST_FREQUENT = 1 << 20
 # Index entries with more members than this get further rounds of smallest members.
 SMALL = 32
 ROUNDS = 2
+# Smallest entries of a set by which a pair is told from its repetitions.
+LOWEST = 16
 PARITY = 512
 SKETCH = [f"b{i}" for i in range(PARITY // 64)]
 
@@ -334,12 +336,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
             alone = alike.groupBy("m", "i0", "i1", "s").agg(F.min("sig").alias("sig"))
             rest = keep(apart.join(alone.select("sig"), "sig", "left_semi").select("sig", "id", "comp"))
+            # Long sets share many entries; a pair is made in its first one, as far as the
+            # lowest entries of both sets tell.
+            place = F.row_number().over(Window.partitionBy("id").orderBy("sig"))
+            low = keep(rest.withColumn("place", place).where(F.col("place") <= LOWEST)
+                       .groupBy("id").agg(F.collect_list("sig").alias("low")))
             one, two = (rest.withColumnRenamed("comp", "comp" if p == "a_" else "b_comp")
-                        .join(sketches[p], F.col("id") == F.col(p + "id")).drop("id") for p in ("a_", "b_"))
+                        .join(sketches[p], F.col("id") == F.col(p + "id"))
+                        .join(low.withColumnRenamed("low", p + "low"), "id").drop("id")
+                        for p in ("a_", "b_"))
+            earlier = F.array_min(F.array_intersect("a_low", "b_low")) < F.col("sig")
             pairs = one.join(two, "sig").where(
                 (F.col("a_id") < F.col("b_id")) & (F.col("comp") != F.col("b_comp"))
                 & _fits("a_n", "b_n", num, den)
-                & _near("a_", "b_", F.col("a_n") + F.col("b_n"), num, den)).select(
+                & _near("a_", "b_", F.col("a_n") + F.col("b_n"), num, den)
+                & ~F.coalesce(earlier, F.lit(False))).select(
                 F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         pairs = keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
