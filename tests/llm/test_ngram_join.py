@@ -91,6 +91,32 @@ def test_linked_sets_share_a_signature():
         assert a & b
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_sets_with_tokens_of_their_own_share_a_signature(num):
+    rng = np.random.default_rng(num)
+    linked = 0
+    for trial in range(1500):
+        n = int(rng.integers(2, 300))
+        pool = np.unique(rng.integers(0, 1 << 40, 2 * n).astype(np.uint64))
+        rng.shuffle(pool)
+        lost, own = (int(rng.integers(0, n // 6 + 1)) for _ in range(2))
+        if n == lost or 100 * (n - lost) < num * (n + own):
+            continue
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:n - lost], pool[n:n + own]]))
+        frequent = np.sort(pool[rng.random(len(pool)) < rng.choice([0, .5, .9, 1])])
+        a, b = (set(ngram_join.signatures(s, len(s), frequent, num, 100).tolist()) for s in (x, y))
+        assert a & b
+        linked += 1
+    assert linked > 300
+
+
+def test_combinations_of_one_set_do_not_depend_on_its_slice():
+    tokens = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 90).astype(np.uint64))
+    made, begin = ngram_join.combinations(tokens, np.array([0, 50, 50, 90]), 85, 100)
+    alone = ngram_join.combinations(tokens[50:], np.array([0, 40]), 85, 100)[0]
+    assert begin[1] == begin[2] and np.array_equal(made[begin[2]:], alone)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (7, 7)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
