@@ -1,13 +1,16 @@
 """Scalar behaviour, many cases per Spark job."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from rolemill.functions import dates, extract, fingerprint, labels, pay, place, text, titles
+from rolemill import vocab
+from rolemill.functions import clues, dates, extract, fingerprint, labels, pay, place, text, titles
 from rolemill.functions.stem import stem
 from rolemill.operators.skills import SkillMatcher, alias_table, job_skills, with_skills
+from rolemill.plans import corpus
 
 c = F.col
 
@@ -299,3 +302,60 @@ def test_stems():
     stems = ("caress poni cat agre plaster motor sing conflat size hop fall hiss fail file "
              "happi sky relat triplic form electr hope reviv adopt control probat rate roll")
     assert [stem(w) for w in words.split()] == stems.split()
+
+
+def _written_out(pattern):
+    """Texts of every alternative of a pattern, optional parts left out and taken once."""
+    parser = re._parser
+    names = {"category_digit": "7", "category_space": " ", "category_word": "w"}
+
+    def of(tree):
+        texts = [""]
+        for op, value in tree:
+            kind = str(op).lower()
+            if kind == "literal":
+                own = [chr(value)]
+            elif kind == "in":
+                own = [chr(v) if str(o).lower() == "literal" else chr(v[0]) if str(o).lower() == "range"
+                       else names[str(v).lower()] for o, v in value]
+            elif kind == "subpattern":
+                own = of(value[3])
+            elif kind == "branch":
+                own = [t for arm in value[1] for t in of(arm)]
+            elif kind == "max_repeat":
+                own = [t * n for n in {value[0], max(1, value[0])} for t in of(value[2])]
+            else:
+                own = [""]
+            texts = [a + b for a in texts for b in dict.fromkeys(own)]
+        return texts
+
+    return of(parser.parse(pattern))
+
+
+def test_every_match_holds_a_clue():
+    for pattern, words in clues.CLUES.items():
+        for text in _written_out(pattern):
+            assert any(w in text.lower() for w in words), (pattern, text)
+
+
+def test_headings_as_words_are_the_pattern():
+    for pattern, words in ((vocab.REQUIRED_HEADING, vocab.REQUIRED_WORDS),
+                           (vocab.PREFERRED_HEADING, vocab.PREFERRED_WORDS)):
+        assert sorted(_written_out(pattern)) == sorted(words)
+
+
+def test_skills_with_marks_and_far_headings(spark):
+    texts = ["must have \x01python\x01, nice to have rust" + " pad" * 200 + " docker. required: perl sql.",
+             "bonus" + " x" * 400 + " essential sql", "no skill here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, description_text string")
+    out = {r.id: [tuple(s) for s in r.skills] for r in with_skills(df, corpus.MATCHER).collect()}
+    assert out[0] == [("Python", "required", 1), ("Rust", "preferred", 1), ("Docker", "mentioned", 1),
+                      ("Perl", "required", 1), ("SQL", "required", 1)]
+    assert out[1] == [("SQL", "required", 1)] and out[2] == out[3] == []
+
+
+def test_unasked_columns_are_not_computed(spark):
+    plan = corpus.enriched(spark, "/root/testdata/sf0.001").select(
+        "job_id", "city")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "python" not in plan and "<[^>]+>" not in plan
+    assert corpus.jobs(spark, "/root/testdata/sf0.001", "job_id", "city").columns == ["job_id", "city"]
