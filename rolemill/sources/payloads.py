@@ -291,8 +291,10 @@ class Landed:
 
     def postings(self) -> DataFrame:
         """Raw postings of the payloads that could be read."""
-        rows = self.payloads.where("rows is not null").select(
-            "token", F.explode("rows").alias("p")).select("token", "p.*")
+        # A condition on ``rows``, also the one Spark adds to a plain explode, would move
+        # below the parsing and repeat it; one on the position stays above.
+        rows = self.payloads.select("token", F.posexplode_outer("rows").alias("at", "p")).where(
+            "at is not null").select("token", "p.*")
         if self.source not in BOARDS:
             return PARSERS[self.source](rows.drop("token"))
         return PARSERS[self.source](rows, self.names)

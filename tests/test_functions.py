@@ -11,6 +11,7 @@ from rolemill.functions import clues, dates, extract, fingerprint, labels, pay,
 from rolemill.functions.stem import stem
 from rolemill.operators.skills import SkillMatcher, alias_table, job_skills, with_skills
 from rolemill.plans import corpus
+from rolemill.sources import payloads
 
 c = F.col
 
@@ -359,3 +360,14 @@ def test_unasked_columns_are_not_computed(spark):
         "job_id", "city")._jdf.queryExecution().executedPlan().toString().lower()
     assert "python" not in plan and "<[^>]+>" not in plan
     assert corpus.jobs(spark, "/root/testdata/sf0.001", "job_id", "city").columns == ["job_id", "city"]
+
+
+def test_landed_payloads_are_parsed_once(spark, folder):
+    path = f"{folder}/landed"
+    spark.createDataFrame([('{"token": "a", "payload": {"jobs": [{"id": "1"}]}}',), ('{"jobs": [',)],
+                          "value string").coalesce(1).write.text(path)
+    found = payloads.land(spark, "ashby", path, envelope=True).postings()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not any("jobs:array" in line or "parse_json" in line for line in filters)
+    assert [r.source_job_id for r in found.collect()] == ["a:1"]
