@@ -369,5 +369,5 @@ def test_landed_payloads_are_parsed_once(spark, folder):
     found = payloads.land(spark, "ashby", path, envelope=True).postings()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line]
-    assert not any("jobs:array" in line or "parse_json" in line for line in filters)
+    assert filters and not any("json" in line.lower() for line in filters)
     assert [r.source_job_id for r in found.collect()] == ["a:1"]
