@@ -317,6 +317,19 @@ def test_conditions(spark):
         assert [int(r[i]) for r in rows] == expected, case
 
 
+def test_company_scores_at_a_half_go_up(spark):
+    # 4 + 0 + 10 + 10.45 + 1.4 is 25.85, which as a sum of doubles is a little less.
+    jobs = spark.createDataFrame(
+        [("a", "onsite", 62700.0, True, True), ("b", "onsite", 62400.0, True, True)],
+        "company_key string, work_arrangement string, salary_annualized_min double, "
+        "is_active boolean, is_primary boolean")
+    firms = spark.createDataFrame([("a", 0.7), ("b", 0.7)],
+                                  "company_key string, hiring_frequency_30d double")
+    scores = {r.company_key: r.opportunity_score
+              for r in scoring.score_companies(jobs, firms).collect()}
+    assert scores == {"a": 25.9, "b": 25.8}
+
+
 def test_score_without_rules_is_null(spark):
     df = spark.range(1)
     assert df.select(scoring.score([], df.schema).alias("s")).head().s is None
