@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from rolemill import vocab
 from rolemill.functions import clues, dates, extract, fingerprint, labels, pay, place, text, titles
 from rolemill.functions.stem import stem
+from rolemill.operators import search
 from rolemill.operators.skills import SkillMatcher, alias_table, job_skills, with_skills
-from rolemill.plans import corpus
+from rolemill.plans import catalog, corpus
 from rolemill.sources import payloads
 
 c = F.col
@@ -362,6 +363,23 @@ def test_unasked_columns_are_not_computed(spark):
     assert corpus.jobs(spark, "/root/testdata/sf0.001", "job_id", "city").columns == ["job_id", "city"]
 
 
+def test_queries_store_the_columns_they_read(spark):
+    folder = "/root/testdata/sf0.001"
+    before = set(corpus._STORED)
+    for name in ("flt_01_hygiene", "flt_15_required_skills", "srt_01b_location_asc", "agg_02_facets",
+                 "snk_04_export_log", "scr_01_facts"):
+        catalog.QUERIES[name](spark, folder)
+    made = [set(columns) for _, _, columns in set(corpus._STORED) - before]
+    assert all(made), "the whole corpus was stored"
+    assert not any({"simhash", "benefits", "description_text"} & columns for columns in made)
+    open_ = {"job_id", "is_primary", "is_active"}
+    assert search.job_columns({}) == sorted(open_)
+    # Every key that leads to a condition is known to read something.
+    keys = {"salary_min": 1, "city": "a", "required_skills": ["a"], "min_score": 1, "date_to": "2024-01-01"}
+    for key, value in keys.items():
+        assert set(search.job_columns({key: value})) > open_
+
+
 def test_landed_payloads_are_parsed_once(spark, folder):
     path = f"{folder}/landed"
     spark.createDataFrame([('{"token": "a", "payload": {"jobs": [{"id": "1"}]}}',), ('{"jobs": [',)],
