@@ -274,6 +274,7 @@ BOARDS = ["greenhouse", "lever", "ashby", "workable"]
 
 
 LINES = r"\.(jsonl|ndjson)$"
+_BLANKS = " \t\n\x0b\x0c\r"
 _PACKED = r"\.(gz|bz2|zst|deflate|snappy|lz4)$"
 _SUFFIX = r"(\.(json|jsonl|ndjson|txt))?$"
 
@@ -346,7 +347,9 @@ def land(spark: SparkSession, source: str, path: str, names: DataFrame | None =
     lines, whole = _kinds(spark, path)
     parts = [spark.read.text(lines)] if lines else []
     parts += [spark.read.text(whole, wholetext=True)] if whole else []
-    body = F.trim(F.regexp_replace("value", "^[\\x20\\x09-\\x0D\ufeff]+|[\\x20\\x09-\\x0D]+$", ""))
+    body = F.rtrim(F.ltrim("value", F.lit(_BLANKS + "\ufeff")), F.lit(_BLANKS))
+    # Ends at the first sign of a payload; a condition on ``body`` would strip it again.
+    filled = F.col("value").rlike("[^\\x20\\x09-\\x0D\ufeff]")
     base = F.regexp_replace("_metadata.file_name", f"(?i){_PACKED}", "")
     token = F.regexp_replace(base, f"(?i){_SUFFIX}", "")
     # A bare array holds payload rows itself; wrapped, both kinds parse in one pass, and
@@ -359,7 +362,7 @@ def land(spark: SparkSession, source: str, path: str, names: DataFrame | None =
     out = None
     for part in parts:
         made = part.select(F.col("_metadata.file_path").alias("file"), token.alias("token"),
-                           body.alias("body")).where("body <> ''")
+                           body.alias("body"), filled.alias("filled")).where("filled").drop("filled")
         if envelope:
             inner = F.from_json("body", "token string, payload string")
             made = made.withColumn("e", inner).select(

@@ -389,3 +389,15 @@ def test_landed_payloads_are_parsed_once(spark, folder):
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and not any("json" in line.lower() for line in filters)
     assert [r.source_job_id for r in found.collect()] == ["a:1"]
+
+
+def test_blank_lines_are_told_without_stripping_payloads(spark, folder):
+    path = f"{folder}/blanks"
+    spark.createDataFrame([('{"jobs": []}',), ('\ufeff \t{"jobs": [{"id": "1"}]} \t ',), (" \t ",), ("\ufeff",), (" x ",)],
+                          "value string").coalesce(1).write.text(path)
+    found = payloads.land(spark, "remotive", path)
+    assert sorted(r.body for r in found.payloads.collect()) == sorted(
+        ["x", '{"jobs": []}', '{"jobs": [{"id": "1"}]}'])
+    plan = found.payloads._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("trim" in line or "regexp_replace" in line for line in filters)
