@@ -401,3 +401,14 @@ def test_blank_lines_are_told_without_stripping_payloads(spark, folder):
     plan = found.payloads._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and not any("trim" in line or "regexp_replace" in line for line in filters)
+
+
+def test_html_is_read_in_one_step(spark):
+    odd = ["a&amp;lt;b &amp x &copy;&hearts;", "<BR/>x< br />y<\x0bbr\x0b>z<LI class='a\nb'>q</Li\x0b>", "",
+           "a \t b\x0b\x0bc  d\n\n\n\n e 　\x85", "< </p>br> <p", "&1lt; &&lt;&#39;&middot;&#x41;&notit;",
+           "a\r\n\r\n\r\nb \n \n \n c", "<" * 50 + ">", None] * 100
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, h string").coalesce(1)
+    read = text.with_text(df, "h", "t")
+    assert read.withColumn("u", text.html_to_text(c("h"))).where("not t <=> u").count() == 0
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan.lower()
