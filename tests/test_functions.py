@@ -412,3 +412,14 @@ def test_html_is_read_in_one_step(spark):
     assert read.withColumn("u", text.html_to_text(c("h"))).where("not t <=> u").count() == 0
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan.lower()
+
+
+def test_mentions_are_walked_in_one_step(spark):
+    texts = {"required " + "z " * 345 + "sql": "required", "required " + "z " * 346 + "sql": "mentioned",
+             "a plus required sql": "required", "required plus sql": "preferred", "sql required": "mentioned",
+             "é" * 900 + "required sql": "required"}
+    df = spark.createDataFrame([(t,) for t in texts], "description_text string")
+    found = with_skills(df, corpus.MATCHER)
+    assert {r.description_text: [s.requirement for s in r.skills] for r in found.collect()} == {
+        t: [cls] for t, cls in texts.items()}
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
