@@ -423,3 +423,11 @@ def test_mentions_are_walked_in_one_step(spark):
     assert {r.description_text: [s.requirement for s in r.skills] for r in found.collect()} == {
         t: [cls] for t, cls in texts.items()}
     assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dates_clean_their_text_once(spark):
+    df = spark.createDataFrame([("2024-01-02T03:04:05",), ("2024-01-02T03:04:05z",), ("2024-13-02T03:04:05",),
+                                ("1700000000",), ("0000000000",)], "x string")
+    found = df.select(F.unix_micros(dates.parse_date(c("x"))).alias("at"))
+    assert [r.at for r in found.collect()] == [1704164645000000, 1704164645000000, None, 1700000000000000, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(r"\s+,") == 1
