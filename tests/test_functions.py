@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,3 +432,20 @@ def test_dates_clean_their_text_once(spark):
     found = df.select(F.unix_micros(dates.parse_date(c("x"))).alias("at"))
     assert [r.at for r in found.collect()] == [1704164645000000, 1704164645000000, None, 1700000000000000, None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count(r"\s+,") == 1
+
+
+def test_a_worker_compares_a_pair_of_titles_once(spark):
+    pairs = [("welder", "welders"), ("pilot", "tailor"), (None, "x")] * 2000
+    a, b = (pd.Series(side) for side in zip(*pairs))
+    calls = []
+    class Counted(titles.SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+    plain, titles.SequenceMatcher = titles.SequenceMatcher, Counted
+    try:
+        out = pd.concat(titles.sequence_ratio.func(iter([(a, b), (a, b)])))
+    finally:
+        titles.SequenceMatcher = plain
+    assert len(calls) == 2 and len(out) == 2 * len(pairs)
+    assert out[:3].tolist()[:2] == [plain(None, *p).ratio() for p in pairs[:2]] and out.iloc[2] != out.iloc[2]
