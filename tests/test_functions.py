@@ -4,12 +4,13 @@ import datetime as dt
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rolemill import vocab
 from rolemill.functions import clues, dates, extract, fingerprint, labels, pay, place, text, titles
-from rolemill.functions.stem import stem
+from rolemill.functions.stem import stem, stem_tokens
 from rolemill.operators import search
 from rolemill.operators.skills import SkillMatcher, alias_table, job_skills, with_skills
 from rolemill.plans import catalog, corpus
@@ -449,3 +450,11 @@ def test_a_worker_compares_a_pair_of_titles_once(spark):
         titles.SequenceMatcher = plain
     assert len(calls) == 2 and len(out) == 2 * len(pairs)
     assert out[:3].tolist()[:2] == [plain(None, *p).ratio() for p in pairs[:2]] and out.iloc[2] != out.iloc[2]
+
+
+def test_only_distinct_words_leave_arrow():
+    words = [["running", None, "", "ponies"], None, []] * 3000
+    tokens = pa.array(words, pa.list_(pa.string()))
+    out = list(stem_tokens.func(iter([tokens, tokens.slice(1, 4)])))
+    assert out[0].to_pylist() == [["run", None, "", "poni"], None, []] * 3000
+    assert out[1].to_pylist() == [None, [], ["run", None, "", "poni"], None]
