@@ -458,3 +458,8 @@ def test_only_distinct_words_leave_arrow():
     out = list(stem_tokens.func(iter([tokens, tokens.slice(1, 4)])))
     assert out[0].to_pylist() == [["run", None, "", "poni"], None, []] * 3000
     assert out[1].to_pylist() == [None, [], ["run", None, "", "poni"], None]
+
+
+def test_neighbours_share_one_hashing(spark):
+    found = catalog.QUERIES["dup_03_hamming"](spark, "/root/testdata/sf0.001")
+    assert "python" not in found._jdf.queryExecution().executedPlan().toString().lower()
