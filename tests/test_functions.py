@@ -463,3 +463,42 @@ def test_only_distinct_words_leave_arrow():
 def test_neighbours_share_one_hashing(spark):
     found = catalog.QUERIES["dup_03_hamming"](spark, "/root/testdata/sf0.001")
     assert "python" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_places_are_read_without_lambdas(spark):
+    rows = [("Peoria, IL 61602", None, "", "99999"), (", - ,Reno - , U.S.A. , -", "", None, None), ("Texas", None, None, None),
+            (" , - ", None, None, None), ("Tulsa, OK", "Reno", "NV", None), ("   ", None, None, None), (None, "", "", ""),
+            ("Boise,,Idaho, USA 83702-1234", "Kuna", None, ""), ("Anywhere", None, None, None)]
+    df = spark.createDataFrame(rows, "location_raw string, city string, state string, postal_code string").withColumn(
+        "country", F.lit(None).cast("string"))
+    found = place.with_place(df, "p")
+    assert [tuple(r.p) for r in found.collect()] == [
+        ("Peoria", "IL", "US", "99999"), ("Reno", None, "US", None), (None, "TX", "US", None),
+        (None, None, "US", None), ("Reno", "NV", "US", None), (None, None, "US", None), ("", "", "US", ""),
+        ("Kuna", "ID", "US", "83702"), (None, None, "US", None)]
+    read = df.select(place.parse_location(c("location_raw")).alias("p")).collect()
+    assert [r.p.city for r in read] == ["Peoria", "Reno", None, None, "Tulsa", None, None, "Boise", None]
+    plan = corpus.enriched(spark, "/root/testdata/sf0.001").select(
+        "job_id", "city", "title_normalized", "canonical_hash")._jdf.queryExecution().optimizedPlan().toString()
+    # The places' text and the title are each read once for all fields.
+    assert plan.count("united states of america") == 1 and plan.count("work\\s+from\\s+home") == 1
+
+
+def test_titles_in_steps_are_the_expression(spark):
+    titles_ = ["Pilot (Remote) - Urgently  Hiring", "C++/F# dev, sr.", "a\t\x0b b\n c", "[x {y", "W2 éremote full-time", "İ—K",
+               "- / Tutor II -", "", None, "part  time (x] y}", "immediate\tstart 😀 apply now"]
+    df = spark.createDataFrame([(t,) for t in titles_], "x string")
+    assert text.with_title(df, "x", "t").where(~c("t").eqNullSafe(text.normalize_title(c("x")))).count() == 0
+    assert run(spark, titles_[:3], text.normalize_title) == ["pilot", "c++/f# dev sr", "a b c"]
+
+
+def test_a_file_cut_in_splits_is_spread(spark, folder):
+    spark.range(100).coalesce(1).write.parquet(f"{folder}/t.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        one = spark.read.parquet(f"{folder}/t.parquet")
+        assert one.rdd.getNumPartitions() >= 4
+        rows = corpus.spread(one).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(rows) == 100 and sum(n > 0 for n in rows) == 4
