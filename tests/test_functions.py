@@ -512,3 +512,11 @@ def test_a_file_cut_in_splits_is_spread(spark, folder):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(rows) == 100 and sum(n > 0 for n in rows) == 4
+
+
+def test_boards_are_discovered_without_storing(spark):
+    folder = "/root/testdata/sf0.001"
+    before = set(corpus._STORED)
+    found = catalog.QUERIES["ups_04_board_discovery"](spark, folder)
+    assert set(corpus._STORED) == before
+    assert found.where("token is null or platform is null").count() == 0 and found.count() > 0
