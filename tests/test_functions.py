@@ -520,3 +520,31 @@ def test_boards_are_discovered_without_storing(spark):
     found = catalog.QUERIES["ups_04_board_discovery"](spark, folder)
     assert set(corpus._STORED) == before
     assert found.where("token is null or platform is null").count() == 0 and found.count() > 0
+
+
+def _tables(spark, folder):
+    """Six orders of two customers, one of them there twice."""
+    spark.createDataFrame([(1, "Customer#1", 2, 10.5, "FURNITURE"), (2, "Customer#2", 7, -3.0, None),
+                           (2, "Customer#2", 7, 4.0, "MACHINERY")],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+                          ).write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(k, 1 + k % 2, "F", 70_000.0 + 900 * k, dt.datetime(2001, 7, 20 + k), "1-URGENT")
+                           for k in range(6)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+SCORES = ["scr_02_leaf_conditions", "scr_03_compound_conditions", "scr_04_job_score", "scr_05_rescore_subset"]
+
+
+def test_scores_compute_what_they_test_and_store_nothing(spark, folder):
+    before = set(corpus._STORED)
+    plans = {name: catalog.QUERIES[name](spark, _tables(spark, folder) if i == 0 else folder)
+             for i, name in enumerate(SCORES)}
+    assert set(corpus._STORED) == before
+    rows = {name: len(df.collect()) for name, df in plans.items()}
+    # Postings of the doubled customer come twice, and meet its employer twice.
+    assert rows == dict(zip(SCORES, [15, 15, 15, 8]))
+    plan = plans["scr_05_rescore_subset"]._jdf.queryExecution().executedPlan().toString()
+    assert "summaries" not in plan and "hybrid" not in plan
