@@ -12,7 +12,7 @@ from rolemill import vocab
 from rolemill.functions import clues, dates, extract, fingerprint, labels, pay, place, text, titles
 from rolemill.functions.stem import stem, stem_tokens
 from rolemill.operators import search
-from rolemill.operators.skills import SkillMatcher, alias_table, job_skills, with_skills
+from rolemill.operators.skills import SkillMatcher, alias_table, job_skills, skills_in, with_skills
 from rolemill.plans import catalog, corpus
 from rolemill.sources import payloads
 
@@ -547,4 +547,35 @@ def test_scores_compute_what_they_test_and_store_nothing(spark, folder):
     # Postings of the doubled customer come twice, and meet its employer twice.
     assert rows == dict(zip(SCORES, [15, 15, 15, 8]))
     plan = plans["scr_05_rescore_subset"]._jdf.queryExecution().executedPlan().toString()
-    assert "summaries" not in plan and "hybrid" not in plan
+    assert "summaries(" not in plan
+    assert vocab.HYBRID not in plan
+
+
+def test_export_computes_what_it_shows_and_stores_nothing(spark, folder):
+    before = set(corpus._STORED)
+    rows = catalog.QUERIES["snk_01_export_rows"](spark, _tables(spark, folder))
+    assert set(corpus._STORED) == before
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "summaries(" in plan
+    assert "_simhash(" not in plan
+    assert vocab.SPONSOR_YES not in plan
+    # Order 3 is a duplicate; its customer is there twice.
+    assert sorted(r.id for r in rows.collect()) == [0, 1, 1, 2, 4]
+
+
+def test_skills_and_simhash_read_a_text_in_one_step(spark):
+    """And skills as the former search found them, borders and marks included."""
+    texts = ["sqlite sql_ sql+ (sql) sql,SQL énsql sqlé sql²", "ansi sql\x01c++ f#, vue.jsx vue js pythons", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = df.select("id", skills_in(F.col("t"), corpus.MATCHER).alias("skills"),
+                      fingerprint.simhash(F.col("t")).alias("simhash"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    out = {r.id: {s.name: s.mention_count for s in r.skills} for r in found.collect()}
+    marked = df.select("id", F.size(F.regexp_extract_all(F.lower("t"), F.lit(corpus.MATCHER.pattern), F.lit(1))).alias("n"))
+    assert {r.id: r.n for r in marked.collect() if r.n is not None} == {i: sum(out[i].values()) for i in (0, 1, 2)}
+    assert out == {0: {"SQL": 3}, 1: {"SQL": 1, "C++": 1, "F#": 1, "Vue.js": 1}, 2: {}, 3: {}}
+
+
+def test_simhash_words_are_the_pattern(spark):
+    words = ["a+b c#", "x\x1cy z0", "İi ²two", "ab_cd", "😀e-f/g"]
+    assert [t.translate(fingerprint._GAPS).split() for t in words] == [re.findall(vocab.WORD, t) for t in words]
